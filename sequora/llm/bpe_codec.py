@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .chunks import ChunkCache
-from .common import map_texts
+from .common import map_texts, ship
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -150,6 +150,7 @@ def decode_ids(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """
     from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
+    ship(encoded.sparkSession)
     kept = [c for c in encoded.columns if c.lower() not in ("decoded", "decoded_text")]
     source = encoded.select(*kept)
     out = StructType([*source.schema, StructField("decoded", BinaryType()), StructField("decoded_text", StringType())])

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _FOLDERS: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -45,6 +47,19 @@ def _remove(spark: SparkSession, folder: str) -> None:
         pass
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable on the executors: it is added to the session's files once.
+
+    Nothing is done where the executors find it anyway (it is on PYTHONPATH or in the working folder).
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    found = root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or os.getcwd() == root
+    if not found and spark.sparkContext.applicationId not in _SHIPPED and os.path.isdir(root):
+        archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="spark-"), "sequora"), "zip", root, "sequora")
+        spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(spark.sparkContext.applicationId)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -86,6 +101,7 @@ def map_texts(
     """
     from pyspark.sql.types import StructType
 
+    ship(df.sparkSession)
     new = StructType.fromDDL(schema)
     names = {f.name.lower() for f in new}
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in names]
@@ -115,7 +131,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     state = None
     for _ in range(max_rounds):
         both = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
