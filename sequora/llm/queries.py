@@ -10,6 +10,7 @@ from .quality_model import op9_quality_classifier
 from .quality_rules import OP2_SQL, op2_quality_rules
 from .simhash_dedup import op3_simhash_dedup
 from .source_mixing import OP1_SQL, op1_source_mixing
+from .suffix_dedup import op6_suffix_dedup
 from .token_counts import op5_token_counts
 
 QUERIES = {
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_language_id": op4_language_id,
     "op5_token_counts": op5_token_counts,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_pii": op8_pii,
     "op9_quality_classifier": op9_quality_classifier,
