@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import display_queries, ngram_queries, prep_queries, survey_queries, trie_queries  # noqa: F401 - they register themselves
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401
 
-
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+flagship = trie_queries.depth_stats
