@@ -113,16 +113,11 @@ def links(distinct: DataFrame) -> DataFrame:
     """``(a, b)``: links between distinct fingerprints whose transitive closure is that of all links."""
     ship(distinct.sparkSession)
     keyed = distinct.select("fp", F.explode(F.array(*ball_keys(F.col("fp")))).alias("key"))
-    shared = materialize(
-        keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
-    )
-    pairs = shared.where("n = 2").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS).select("a", "b")
-    many = shared.where("n > 2").select("key", F.ceil(F.col("n") / TILE).cast("int").alias("blocks"))
+    many = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / TILE).cast("int").alias("blocks")))
     own = F.pmod(F.xxhash64("fp"), "blocks")
     members = keyed.join(many, "key").select("key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     tiles = members.select("key", F.least("own", "other").cast("long").alias("x"), F.greatest("own", "other").cast("long").alias("y"), "fp")
-    dense = tiles.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(_tiles, "a long, b long")
-    return pairs.union(dense).distinct()
+    return tiles.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(_tiles, "a long, b long").distinct()
 
 
 def groups(hashed: DataFrame, id_col: str = "doc_id") -> DataFrame:
