@@ -152,17 +152,19 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     A component whose ids are all null keeps one of its rows.
     """
-    hashed = materialize(add_fingerprints(docs.withColumnRenamed("fp", "_sq_own_fp") if "fp" in docs.columns else docs, text_col))
-    ids = hashed.select(id_col, "fp").distinct()
-    found = groups(hashed.select(id_col, "fp"), id_col).select(F.col("fp").alias("_sq_fp"), "root")
+    with_fp = add_fingerprints(docs.withColumnRenamed("fp", "_sq_own_fp") if "fp" in docs.columns else docs, text_col)
+    ids = materialize(add_fingerprints(docs, text_col, keep=[id_col]))  # texts are fingerprinted twice rather than stored
+    found = groups(ids, id_col).select(F.col("fp").alias("_sq_fp"), "root")
     chosen = (
-        ids.join(found, ids["fp"] == found["_sq_fp"])
+        ids.distinct().join(found, F.col("fp") == F.col("_sq_fp"))
         .groupBy("root")
         .agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("fp").alias("fp"))).alias("k"))
-        .select(F.col("k.id").alias("_sq_id"), F.col("k.fp").alias("_sq_fp"))
+        .select(F.xxhash64("k.fp", "k.id").alias("_sq_k"), F.col("k.id").alias("_sq_id"), F.col("k.fp").alias("_sq_fp"))
     )
-    kept = hashed.join(materialize(chosen), (hashed["fp"] == F.col("_sq_fp")) & hashed[id_col].eqNullSafe(F.col("_sq_id")), "left_semi")
-    kept = kept.dropDuplicates([id_col, "fp"]).drop("fp")
+    # One key for both: copies of a hot text have ids of their own, so no key is hot.
+    kept = with_fp.withColumn("_sq_k", F.xxhash64("fp", id_col)).join(materialize(chosen), "_sq_k")
+    kept = kept.where((F.col("fp") == F.col("_sq_fp")) & F.col(id_col).eqNullSafe(F.col("_sq_id")))
+    kept = kept.dropDuplicates(["_sq_k", "_sq_fp"]).drop("fp", "_sq_k", "_sq_id", "_sq_fp")
     return (kept.withColumnRenamed("_sq_own_fp", "fp") if "_sq_own_fp" in kept.columns else kept).select(docs.columns)
 
 
