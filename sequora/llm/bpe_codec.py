@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from .chunks import ChunkCache
@@ -157,30 +158,37 @@ def decode_ids(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            lists = batch.column(kept.index("ids")).to_pylist()
-            data = [codec(path).decode(array("I", x or []).tobytes()) for x in lists]
+            lists = batch.column(kept.index("ids"))
+            values = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4")  # nulls have no values
+            ends = np.cumsum([0, *pc.fill_null(pc.list_value_length(lists), 0).to_pylist()])
+            data = [codec(path).decode(values[lo:hi].tobytes()) for lo, hi in zip(ends[:-1], ends[1:])]
             columns = [*batch.columns, pa.array(data, pa.binary()), pa.array([x.decode("utf-8", "replace") for x in data])]
             yield pa.RecordBatch.from_arrays(columns, names=out.names)
 
     return source.mapInArrow(run, out)
 
 
-def round_trip(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
-    """Encode each text and decode its ids: ``n_tokens`` and the digests of ids and decoded bytes."""
+def round_trip(docs: DataFrame, text_col: str = "text", path: str | None = None, keep: list[str] | None = None, with_ids: bool = False) -> DataFrame:
+    """Encode each text and decode its ids: ``n_tokens`` and the digests of ids and decoded bytes (and ``ids``).
+
+    Both directions run in one task, on slices of texts of a bounded size.
+    """
 
     def run(texts: list[str]) -> list[pa.Array]:
         own = codec(path)
         blobs = own.encode(texts)
         digest = lambda x: hashlib.sha256(x).hexdigest()
-        return [
+        arrays = [
             pa.array([len(b) // 4 for b in blobs], pa.int64()),
             pa.array([digest(b) for b in blobs]),
             pa.array([digest(own.decode(b)) for b in blobs]),
         ]
+        return arrays + [_ids(blobs)] * with_ids
 
-    return map_texts(docs, run, "n_tokens long, ids_sha256 string, decoded_sha256 string", text_col)
+    schema = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return map_texts(docs, run, schema, text_col, keep)
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return round_trip(docs).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return round_trip(docs, keep=["doc_id"])
