@@ -73,7 +73,8 @@ def ball_keys(fp) -> list:
 
 def _forest(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each linked fingerprint but the least of its group, and that least one."""
-    i, j = np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= BITS, 1))
+    bits = fps.view(np.uint64)  # bitwise_count takes the absolute value of signed integers
+    i, j = np.nonzero(np.triu(np.bitwise_count(bits[:, None] ^ bits[None, :]) <= BITS, 1))
     label = np.arange(len(fps))
     while len(i):
         low = np.minimum(label[i], label[j])
