@@ -140,8 +140,10 @@ def sample_texts(labelled: DataFrame, lang_col: str, text_col: str, docs_per_lan
     short = labelled.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(
         F.col(lang_col).alias("lang"), F.substring(text_col, 1, chars_per_lang).alias("t"), F.xxhash64(text_col).alias("h")
     )
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))
-    rows = short.withColumn("k", rank).where(F.col("k") <= docs_per_lang).orderBy("lang", "k").collect()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = short.select("lang", "h").distinct().withColumn("k", rank).where(F.col("k") <= docs_per_lang).select("lang", "h")
+    keys = chosen.sparkSession.createDataFrame(chosen.collect(), "lang string, h long")  # hashes travel, not texts
+    rows = short.join(F.broadcast(keys), ["lang", "h"]).groupBy("lang", "h").agg(F.min("t").alias("t")).orderBy("lang", "h").collect()
     got: dict[str, str] = {}
     for r in rows:
         got[r.lang] = (got.get(r.lang, "") + " " + " ".join(words_of(r.t)))[:chars_per_lang]

@@ -187,11 +187,10 @@ def fit_field(docs: DataFrame, text_col: str = "text", sample: int = 512, longes
     Only texts of ``longest`` characters or fewer with a digit or ``@`` are taken; that bounds
     what reaches the driver.
     """
-    rows = (
-        docs.select(F.col(text_col).alias("t"))
-        .where((F.length("t") <= longest) & F.col("t").rlike("[0-9@]"))
-        .orderBy(F.xxhash64("t"), "t").limit(sample).collect()
-    )
+    texts = docs.select(F.col(text_col).alias("t")).where((F.length("t") <= longest) & F.col("t").rlike("[0-9@]"))
+    hashed = texts.withColumn("h", F.xxhash64("t"))
+    chosen = [r.h for r in hashed.select("h").distinct().orderBy("h").limit(sample).collect()]  # hashes travel, not texts
+    rows = hashed.where(F.col("h").isin(chosen)).groupBy("h").agg(F.min("t").alias("t")).orderBy("h").collect() if chosen else []
     return Field([r.t for r in rows])
 
 
