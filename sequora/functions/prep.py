@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .dims import PREDICTABLE_MARKS, PROSODIC
 from .scratch import materialize
@@ -21,7 +22,7 @@ _TOKEN = rf"[{PROSODIC}]|[^\p{{IsWhite_Space}}](?:{_TIE}|[\p{{M}}{_MODIFIERS}])*
 _LEGACY_TOKEN = rf"[{PROSODIC}]|[^ \t](?:{_TIE}|[\p{{M}}{_MODIFIERS}ˈˌ])*+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     """Canonical composition, which Spark has no built-in for."""
     return texts.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
