@@ -123,7 +123,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternates the large-star and small-star steps: each is a min per node and a join, so a hub
     with a third of all edges is aggregated on the map side first and split by AQE in the join.
-    Each round is written to the shared folder. Only nodes with an edge to another one are returned.
+    Each round is written to the shared folder. Roots, and nodes without an edge to another one, are not returned.
     """
     edges = materialize(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
