@@ -1,50 +1,23 @@
 """Pieces that several operators of this subpackage share.
 
-Everything here is plain PySpark: scratch tables in the shared checkpoint folder, columns that
-are evaluated once inside a row, batches of texts for Arrow functions, and connected components.
+Everything here is plain PySpark: the package on the executors, batches of texts for Arrow
+functions, and connected components.
 """
 
 from __future__ import annotations
 
-import atexit
 import os
 import shutil
 import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_FOLDERS: dict[str, str] = {}
-_SHIPPED: set[str] = set()
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder for scratch tables of this session, below ``spark.checkpoint.dir``.
+from ..functions.scratch import let, materialize  # noqa: F401 - the operators take them from here
 
-    Only where neither that setting nor a checkpoint folder is given (tests, one machine) a
-    temporary folder is made. The folder is removed when the Python process ends.
-    """
-    app = spark.sparkContext.applicationId
-    if app not in _FOLDERS:
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="spark-")
-            spark.sparkContext.setCheckpointDir(base)
-        _FOLDERS[app] = f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
-        atexit.register(_remove, spark, _FOLDERS[app])
-    return _FOLDERS[app]
-
-
-def _remove(spark: SparkSession, folder: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    except Exception:  # noqa: BLE001 - the session is gone; the folder's owner clears it
-        pass
+_SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
@@ -60,23 +33,6 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(spark.sparkContext.applicationId)
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
-
-    Cuts the lineage: lost executors cost the tasks that ran on them, not the whole plan, and
-    what follows is planned with the true size of the table.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` evaluated once a row, however often the body uses it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def texts_of(column: pa.Array, most_chars: int = 2_000_000) -> Iterator[tuple[int, list[str]]]:
     """Slices (start, texts) of a string column, each of a bounded size; null counts as empty."""
     start, got, size = 0, [], 0
