@@ -2,9 +2,9 @@
 
 Texts are packed into chunks. In each run of 35 grams of 16 bytes the gram with the least hash is
 an anchor, so equal 50-byte strings have equal anchors at equal places, and consecutive strings
-with one anchor form a piece. Anchors that two documents have are found from their hashes alone;
-only their pieces travel, each once a chunk. The pieces of an anchor meet in one bucket, where the
-suffixes of each piece are sorted to a depth of 50: multikey quicksort by 8-byte characters to a
+with one anchor, cut in two at most, form a piece; 32 bytes around its anchor are its key. Keys that two documents
+have are found from their hashes alone; only their pieces travel, each once a chunk. The pieces of
+a key meet in one bucket, where the suffixes of each piece are sorted to a depth of 50: multikey quicksort by 8-byte characters to a
 shallow depth, then a blind trie for each group that still has a long common prefix and isn't one
 string. Each class of equal strings takes its least document, and the chunks get back which strings of each piece to remove.
 """
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import materialize, ship, texts_of
 from .xxh import xxh64
 
-WIDTH, GRAM, SHALLOW = 50, 16, 32
+WIDTH, GRAM, KEY, SHALLOW = 50, 16, 32, 32
 LAST = np.iinfo(np.int64).max  # stands for a null id: after all others
 
 
@@ -34,7 +34,11 @@ def _zip(*arrays: np.ndarray) -> bytes:
 
 
 def anchors(data: bytes, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Pieces of concatenated texts: gram hash, anchor, first and last string start, text number."""
+    """Pieces of concatenated texts: key, anchor, first and last string start, text number.
+
+    A string that reaches 32 bytes past the start of its anchor is keyed by these bytes, any other
+    by the gram and the 16 bytes before it; so the key of a piece hashes 32 bytes that all its strings share.
+    """
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < WIDTH:
@@ -57,8 +61,22 @@ def anchors(data: bytes, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
         return none.astype(np.uint64), none, none, none, none
     at = at[starts]
     cut = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (np.diff(starts) != 1)])
-    first, last = starts[cut], starts[np.r_[cut[1:], len(starts)] - 1]
-    return h[at[cut]], at[cut], first, last, np.searchsorted(ends, first, side="right")
+    first, last, at = starts[cut], starts[np.r_[cut[1:], len(starts)] - 1], at[cut]
+    turn = WIDTH - KEY  # strings that begin this far before their anchor, or less, hold the whole key after it
+    right, left = np.flatnonzero(at - last <= turn), np.flatnonzero(at - first > turn)
+    key = np.concatenate([_key(eight, at[right], 1), _key(eight, at[left] - (KEY - GRAM), 2)])
+    first, last = np.r_[np.maximum(first, at - turn)[right], first[left]], np.r_[last[right], np.minimum(last, at - turn - 1)[left]]
+    return key, np.r_[at[right], at[left]], first, last, np.searchsorted(ends, first, side="right")
+
+
+def _key(eight: np.ndarray, at: np.ndarray, seed: int) -> np.ndarray:
+    """A hash of the 32 bytes at each place."""
+    h = np.full(len(at), seed, np.uint64)
+    for off in range(0, KEY, 8):
+        h = (h ^ eight[at + off]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ h >> np.uint64(29)
 
 
 def _pack(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int) -> DataFrame:
@@ -105,7 +123,7 @@ def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _hashes_of(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Each distinct anchor hash of a chunk in 6 bytes, its lowest bit set if two texts of the chunk have it."""
+    """Each distinct key of a chunk in 6 bytes, its lowest bit set if two texts of the chunk have it."""
     for batch in batches:
         for cid, _, *packed in zip(*(batch.column(i).to_pylist() for i in range(5))):
             ids, sizes, data = _unpack(*packed)
@@ -144,7 +162,7 @@ def _shared(g: pd.DataFrame) -> pd.DataFrame:
 
 
 def _pieces_of(chunk: pd.DataFrame, shared: pd.DataFrame, buckets: int) -> pd.DataFrame:
-    """The distinct pieces of a chunk whose anchors are shared, by bucket."""
+    """The distinct pieces of a chunk whose keys are shared, by bucket."""
     out = []
     if len(chunk) and len(shared):
         ids, sizes, data = _unpack(*chunk.iloc[0][["ids", "sizes", "blob"]])
