@@ -113,6 +113,8 @@ def _with_last(batches):
 def links(distinct: DataFrame) -> DataFrame:
     """``(a, b)``: links between distinct fingerprints whose transitive closure is that of all links."""
     ship(distinct.sparkSession)
+    # A small table becomes 65 times as many rows, so it is dealt to as many tasks as any shuffle.
+    distinct = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     keyed = distinct.select("fp", F.explode(F.array(*ball_keys(F.col("fp")))).alias("key"))
     many = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / TILE).cast("int").alias("blocks")))
     own = F.pmod(F.xxhash64("fp"), "blocks")
