@@ -157,3 +157,18 @@ SELECT * FROM p WHERE priority IS NOT NULL ORDER BY priority DESC, label LIMIT 8
 def _(spark, sf):
     kept = nodes(spark, sf)
     return D.hubs(kept, motif_paths=N.tag_motifs(kept, N.motifs(kept, 500, 200), 5)).drop("path")
+
+
+@query("xgr2_convergence_depth", f"{SHARED}, {FIG} SELECT grp, convergence_depth FROM fig")
+def _(spark, sf):
+    return D.group_figures(shared_stats(spark, sf)).select("grp", "convergence_depth")
+
+
+@query("xgr3_group_totals", f"{SHARED}, {FIG} SELECT grp, nodes, terminals, max_depth, peak_branch FROM fig")
+def _(spark, sf):
+    return D.group_figures(shared_stats(spark, sf)).select("grp", "nodes", "terminals", "max_depth", "peak_branch")
+
+
+@query("xgr7_mean_entropy", f"{OWN}, {FIG} SELECT grp, mean_entropy FROM fig")
+def _(spark, sf):
+    return D.group_figures(own_stats(spark, sf)).select("grp", "mean_entropy")

@@ -121,3 +121,12 @@ SELECT code, name FROM g WHERE code IN (SELECT lang FROM documents)""")
 def _(spark, sf):
     groups = dims.group_dim(spark, [*fx.LANGS, ("nl", "Dutch", "Germanic", "Fusional", "nld")])
     return L.present_groups(groups, fx.table(spark, sf, "documents").select(F.col("lang").alias("grp"))).select("code", "name")
+
+
+@query("nrm1b_legacy_aligned", f"""WITH {LEX} SELECT grp, word AS key, word AS surface, CASE grp WHEN 'de' THEN translate(word, 'äöü', 'aou') WHEN 'fr' THEN translate(word, 'éèê', 'eee') ELSE word END AS norm FROM lex""")
+def _(spark, sf):
+    marked = F.transform("tokens", lambda t: F.concat(t, F.lit("ˈ")))  # stress marks inside tokens go
+    pairs = prep.normalized_pairs(F.concat(F.array(F.lit("ˌ")), marked), prep.map_of(fx.SURFACE_MAP, F.col("grp")), "legacy")
+    rows = fx.lexicon(spark, sf).withColumn("p", pairs)
+    joined = lambda name: F.array_join(F.transform("p", lambda x: x[name]), "").alias(name)
+    return rows.select("grp", "key", F.translate(joined("surface"), "ˈ", "").alias("surface"), joined("norm"))
