@@ -14,7 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_texts
@@ -140,8 +140,8 @@ def sample_texts(labelled: DataFrame, lang_col: str, text_col: str, docs_per_lan
     short = labelled.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(
         F.col(lang_col).alias("lang"), F.substring(text_col, 1, chars_per_lang).alias("t"), F.xxhash64(text_col).alias("h")
     )
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    chosen = short.select("lang", "h").distinct().withColumn("k", rank).where(F.col("k") <= docs_per_lang).select("lang", "h")
+    # The least hash of each of as many classes: a combinable aggregate, with no window over a hot language.
+    chosen = short.groupBy("lang", F.pmod("h", F.lit(docs_per_lang)).alias("k")).agg(F.min("h").alias("h")).select("lang", "h")
     keys = chosen.sparkSession.createDataFrame(chosen.collect(), "lang string, h long")  # hashes travel, not texts
     rows = short.join(F.broadcast(keys), ["lang", "h"]).groupBy("lang", "h").agg(F.min("t").alias("t")).orderBy("lang", "h").collect()
     got: dict[str, str] = {}
