@@ -177,7 +177,7 @@ def _pieces_of(chunk: pd.DataFrame, shared: pd.DataFrame, buckets: int) -> pd.Da
             p = pick[r]
             rel, count = (at[p] - first[p]).astype(np.uint8), (last[p] - first[p] + 1).astype(np.uint8)
             body = np.frombuffer(b"".join([data[i : j + WIDTH] for i, j in zip(first[p].tolist(), last[p].tolist())]), np.uint8)
-            out.append((b, chunk["cid"].iloc[0], len(p), _zip(h[p], ph[p], low[r], rel, count, body)))
+            out.append((b, chunk["cid"].iloc[0], len(p), _zip(low[r], rel, count, body)))  # keys follow from the bytes
     return pd.DataFrame(out, columns=["bucket", "cid", "n", "pieces"])
 
 
@@ -248,7 +248,7 @@ def equal_strings(data: bytes, start: np.ndarray, group: np.ndarray) -> np.ndarr
 
 def _removals(g: pd.DataFrame) -> pd.DataFrame:
     """For each chunk the pieces of a bucket with strings that an earlier document has, as a mask of places."""
-    fields = [np.uint64, np.uint64, np.int64, np.uint8, np.uint8]
+    fields = [np.int64, np.uint8, np.uint8]
     parts, bodies = [[] for _ in fields], []
     for n, packed in zip(g["n"], g["pieces"]):
         raw = zstandard.ZstdDecompressor().decompress(packed)
@@ -257,10 +257,14 @@ def _removals(g: pd.DataFrame) -> pd.DataFrame:
             parts[k].append(np.frombuffer(raw, kind, n, at))
             at += n * np.dtype(kind).itemsize
         bodies.append(raw[at:])
-    h, ph, own, rel, count = map(np.concatenate, parts)
+    own, rel, count = map(np.concatenate, parts)
     size = count.astype(np.int64) + WIDTH - 1
     place = np.cumsum(size) - size
     data = b"".join(bodies) + bytes(8)
+    ph = xxh64(data, place, size)
+    eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    right = rel <= WIDTH - KEY
+    h = np.where(right, _key(eight, np.where(right, place + rel, 0), 1), _key(eight, np.where(right, 0, place + rel - (KEY - GRAM)), 2))
     order, begin = _grouped(h, ph)
     low = np.minimum.reduceat(own[order], begin)
     piece = np.empty(len(h), np.int64)  # which distinct piece a row is
