@@ -10,7 +10,7 @@ fingerprints share is dealt out in tiles, and a tile returns a forest of its lin
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +24,8 @@ BITS = 4
 TILE = 512
 
 
-def fingerprints(texts: list[str], shingle: int = 4) -> np.ndarray:
-    """The 64-bit fingerprint of each text as a signed integer; a text without words has zero."""
+def shingles(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all texts' word shingles, text after text, and how many each has; a shorter text is one shingle."""
     joined = [b" ".join(t.encode().lower().split()) for t in texts]
     data = b" ".join(joined)
     sizes = np.fromiter(map(len, joined), np.int64, len(joined))
@@ -35,11 +35,17 @@ def fingerprints(texts: list[str], shingle: int = 4) -> np.ndarray:
     starts, ends = bounds[:-1] + 1, bounds[1:]
     first = np.searchsorted(starts, begin)  # the first word of each text; empty ones have an empty word
     words = np.diff(np.concatenate([first, [len(starts)]]))
-    n = np.where(sizes > 0, np.maximum(words - shingle + 1, 1), 0)
+    n = np.where(sizes > 0, np.maximum(words - width + 1, 1), 0)
     text_of = np.repeat(np.arange(len(texts)), n)
     at = first[text_of] + np.arange(len(text_of)) - np.repeat(np.cumsum(n) - n, n)
-    last = np.minimum(at + shingle, first[text_of] + words[text_of]) - 1
-    h = xxh64(data, starts[at], ends[last] - starts[at])
+    last = np.minimum(at + width, first[text_of] + words[text_of]) - 1
+    return xxh64(data, starts[at], ends[last] - starts[at]), n
+
+
+def fingerprints(texts: list[str], shingle: int = 4) -> np.ndarray:
+    """The 64-bit fingerprint of each text as a signed integer; a text without words has zero."""
+    h, n = shingles(texts, shingle)
+    text_of = np.repeat(np.arange(len(texts)), n)
     out = np.zeros(len(texts), np.uint64)
     if not len(h):
         return out.view(np.int64)
@@ -75,7 +81,13 @@ def _forest(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each linked fingerprint but the least of its group, and that least one."""
     bits = fps.view(np.uint64)  # bitwise_count takes the absolute value of signed integers
     i, j = np.nonzero(np.triu(np.bitwise_count(bits[:, None] ^ bits[None, :]) <= BITS, 1))
-    label = np.arange(len(fps))
+    other, root = forest(i, j, len(fps))
+    return fps[other], fps[root]
+
+
+def forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each of ``n`` places that pairs link but the least of its group, and that least one."""
+    label = np.arange(n)
     while len(i):
         low = np.minimum(label[i], label[j])
         before = label.copy()
@@ -84,8 +96,8 @@ def _forest(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = label[label]
         if (before == label).all():
             break
-    other = np.flatnonzero(label != np.arange(len(fps)))
-    return fps[other], fps[label[other]]
+    other = np.flatnonzero(label != np.arange(n))
+    return other, label[other]
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,14 +135,14 @@ def links(distinct: DataFrame) -> DataFrame:
     return tiles.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(_tiles, "a long, b long").distinct()
 
 
-def groups(hashed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def groups(hashed: DataFrame, id_col: str = "doc_id", links_of: Callable[[DataFrame], DataFrame] = links) -> DataFrame:
     """``(fp, root, component_id)`` for each distinct fingerprint of a table with ``fp``.
 
     ``component_id`` is the least id among all documents that are reachable by links (null only
     if all of them are null); ``root`` is a fingerprint that stands for the component.
     """
     per_fp = materialize(hashed.groupBy("fp").agg(F.min(id_col).alias("low")))
-    comp = components(materialize(links(per_fp.select("fp"))))
+    comp = components(materialize(links_of(per_fp.select("fp"))))
     rooted = per_fp.join(comp, per_fp["fp"] == comp["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     rooted = materialize(rooted)
     least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
@@ -157,7 +169,12 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     with_fp = add_fingerprints(docs.withColumnRenamed("fp", "_sq_own_fp") if "fp" in docs.columns else docs, text_col)
     ids = materialize(add_fingerprints(docs, text_col, keep=[id_col]))  # texts are fingerprinted twice rather than stored
-    found = groups(ids, id_col).select(F.col("fp").alias("_sq_fp"), "root")
+    return keep_one(with_fp, ids, groups(ids, id_col), id_col).select(docs.columns)
+
+
+def keep_one(with_fp: DataFrame, ids: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``with_fp`` that stay; ``ids`` has the id and ``fp`` of each, ``found`` the groups."""
+    found = found.select(F.col("fp").alias("_sq_fp"), "root")
     chosen = (
         ids.distinct().join(found, F.col("fp") == F.col("_sq_fp"))
         .groupBy("root")
@@ -168,7 +185,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     kept = with_fp.withColumn("_sq_k", F.xxhash64("fp", id_col)).join(materialize(chosen), "_sq_k")
     kept = kept.where((F.col("fp") == F.col("_sq_fp")) & F.col(id_col).eqNullSafe(F.col("_sq_id")))
     kept = kept.dropDuplicates(["_sq_k", "_sq_fp"]).drop("fp", "_sq_k", "_sq_id", "_sq_fp")
-    return (kept.withColumnRenamed("_sq_own_fp", "fp") if "_sq_own_fp" in kept.columns else kept).select(docs.columns)
+    return (kept.withColumnRenamed("_sq_own_fp", "fp") if "_sq_own_fp" in kept.columns else kept)
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -398,3 +398,33 @@ def test_classifier(spark, docs, none):
     again = quality_model.score_quality(docs.withColumn("score", F.lit("mine")), model)
     assert again.count() == docs.count() and again.where("score IS NULL").count() == 0
     assert quality_model.score_quality(none, quality_model.fit_quality(none, labels)).count() == 0
+
+
+# -- near copies of the pipeline
+
+
+def similar_groups(texts):
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    return brute.union(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])])
+
+
+@pytest.mark.parametrize("tile", [8, 256])
+def test_near_copies_are_all_found(spark, monkeypatch, tile):
+    from sequora.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "TILE", tile)
+    rng, texts = random.Random(tile), []
+    for k in range(25):  # edited copies on both sides of the threshold, below a line that all texts share
+        base = [f"{rng.choice(WORDS)}{rng.randrange(50)}" for _ in range(rng.randrange(20, 300))]
+        for edits in (0, 0, 1, 2, len(base) // 60, len(base) // 45, len(base) // 40, len(base) // 30):
+            copy = list(base)
+            for at in rng.sample(range(len(base)), edits):
+                copy[at] = f"new{rng.randrange(10**6)}"
+            texts.append("this line is licensed to all who read it and more " * (k % 3) + " ".join(copy))
+    want = similar_groups(texts)
+    kept = near_copies.drop_near_copies(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want))
+    assert len(set(want)) < len({c for *_, c in brute.simhash([*enumerate(texts)])})  # what fingerprints leave
