@@ -59,28 +59,46 @@ def suffix_automaton(text: str) -> list[dict[str, int]]:
 
 
 class Identifier:
-    """The automata of all languages over one alphabet, as dense transition tables."""
+    """The automata of all languages over one alphabet, which has every character of the samples.
 
-    def __init__(self, samples: dict[str, str], letters: int = 96, most_kept: int = 300_000) -> None:
+    A table is dense over the characters of its language's own sample while it is small; else its
+    transitions are sorted by state and character, so that memory follows the samples' lengths.
+    """
+
+    def __init__(self, samples: dict[str, str], most_kept: int = 300_000, dense: int = 8_000_000) -> None:
         self.langs = sorted(samples)
-        counts: dict[str, int] = {}
-        for text in samples.values():
-            for c in text:
-                counts[c] = counts.get(c, 0) + 1
-        common = sorted(counts, key=lambda c: (-counts[c], c))[:letters]
-        self.symbol = {c: i + 1 for i, c in enumerate(common)}  # 0: a character without transitions
+        alphabet = sorted(set().union(*samples.values()))
+        self.symbol = {c: i + 1 for i, c in enumerate(alphabet)}  # 0: a character without transitions
         self.tables = []
         for lang in self.langs:
             states = suffix_automaton(samples[lang])
-            table = np.full((len(states), len(common) + 1), -1, np.int32)
-            for s, nexts in enumerate(states):
-                for c, to in nexts.items():
-                    if c in self.symbol:
-                        table[s, self.symbol[c]] = to
-            self.tables.append(table)
+            own = {c: i + 1 for i, c in enumerate(sorted(set(samples[lang])))}
+            column = np.zeros(len(alphabet) + 1, np.int64)
+            for c, i in own.items():
+                column[self.symbol[c]] = i
+            width = len(own) + 1
+            items = sorted((s * width + own[c], to) for s, nexts in enumerate(states) for c, to in nexts.items())
+            at, to = np.array([k for k, _ in items], np.int64), np.array([t for _, t in items], np.int32)
+            if len(states) * width <= dense:
+                table = np.full(len(states) * width, -1, np.int32)
+                table[at] = to
+                at, to = None, table
+            self.tables.append((column, width, at, to))
         self.kept: dict[str, int] = {}  # a word's row in self.rows
         self.rows, self.chars, self.most_kept = np.zeros((0, len(self.langs)), np.int64), 0, most_kept
 
+    @staticmethod
+    def _next(table: tuple, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The state after each state's character, -1 if there is none."""
+        _, width, at, to = table
+        key = state.astype(np.int64) * width + c
+        if at is None:
+            return to[key]
+        if not len(at):
+            return np.full(len(key), -1, np.int32)
+        place = np.minimum(np.searchsorted(at, key), len(at) - 1)
+        return np.where(at[place] == key, to[place], -1)
+
     def phrases(self, words: list[str]) -> np.ndarray:
         """Phrases of each word in each language, padded by spaces; shape (words, languages)."""
         sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
@@ -90,14 +108,15 @@ class Identifier:
         flat = np.array([get(c, 0) for i in order for c in f" {words[i]} "], np.int32)
         begin = np.cumsum(sizes) - sizes
         for k, table in enumerate(self.tables):
+            own = table[0][flat]
             state, count = np.zeros(len(words), np.int32), np.ones(len(words), np.int64)
             for step in range(int(sizes[0]) if len(sizes) else 0):
                 live = int(np.searchsorted(-sizes, -step))  # words longer than step come first
-                c = flat[begin[:live] + step]
-                to = table[state[:live], c]
+                c = own[begin[:live] + step]
+                to = self._next(table, state[:live], c)
                 ends = to < 0
                 count[:live] += ends & (state[:live] != 0)
-                again = table[0, c]
+                again = self._next(table, np.zeros(live, np.int32), c)
                 count[:live] += ends & (again < 0) & (step + 1 < sizes[:live])  # an unknown character is a phrase of its own
                 state[:live] = np.where(ends, np.maximum(again, 0), to)
             out[order, k] = count

@@ -232,6 +232,17 @@ def test_languages(spark, docs, none):
     assert {r.lang_pred for r in language_id.identify(df, none).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("dense", [0, 8_000_000])
+def test_a_rare_script_beside_large_ones(dense):
+    rng = random.Random(5)
+    make = lambda low, letters, n: " ".join("".join(chr(low + min(rng.randrange(letters), rng.randrange(letters))) for _ in range(4)) for _ in range(n))
+    scripts = {"aa": (0x4E00, 3000, 4000), "bb": (0x61, 26, 4000), "cc": (0x0430, 32, 4000), "rare": (0x10D0, 30, 120)}
+    ident = language_id.Identifier({k: make(*v) for k, v in scripts.items()}, dense=dense)
+    for lang, (low, letters, _) in scripts.items():
+        assert ident.predict([make(low, letters, 40)])[0] == [lang]
+    assert all(c in ident.symbol for c in map(chr, range(0x10D0, 0x10D0 + 20)))
+
+
 # -- 5 and 10 tokens
 
 
