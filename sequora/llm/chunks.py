@@ -37,7 +37,7 @@ def key_text(key: str) -> str:
 class ChunkCache(dict):
     """Values by chunk key. Long chunks are not kept, and a full cache starts anew: memory is bounded."""
 
-    def __init__(self, compute: Callable[[list[str]], list], most: int = 300_000, longest: int = 48) -> None:
+    def __init__(self, compute: Callable[[list[str]], list], most: int = 120_000, longest: int = 40) -> None:
         super().__init__()
         self.compute, self.most, self.longest = compute, most, longest
 

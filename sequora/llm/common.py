@@ -18,13 +18,18 @@ from pyspark.sql import functions as F
 from ..functions.scratch import let, materialize  # noqa: F401 - the operators take them from here
 
 _SHIPPED: set[str] = set()
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
     """Make this package importable on the executors: it is added to the session's files once.
 
     Nothing is done where the executors find it anyway (it is on PYTHONPATH or in the working folder).
+    Arrow batches of the session are bounded to 4 MB (or one row), unless a smaller bound is set:
+    ten thousand texts of the default bound are too much beside an executor's heap.
     """
+    if spark.conf.get(BATCH) in ("67108864b", "-1"):
+        spark.conf.set(BATCH, "4194304")
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     found = root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or os.getcwd() == root
     if not found and spark.sparkContext.applicationId not in _SHIPPED and os.path.isdir(root):
@@ -33,7 +38,7 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(spark.sparkContext.applicationId)
 
 
-def texts_of(column: pa.Array, most_chars: int = 2_000_000) -> Iterator[tuple[int, list[str]]]:
+def texts_of(column: pa.Array, most_chars: int = 250_000) -> Iterator[tuple[int, list[str]]]:
     """Slices (start, texts) of a string column, each of a bounded size; null counts as empty."""
     start, got, size = 0, [], 0
     for i, text in enumerate(column):

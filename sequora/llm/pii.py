@@ -53,7 +53,7 @@ def base_spans(text: str) -> list[Span]:
             found.append((start, m.end(), 0))
             end = m.end()
         at = text.find("@", max(at + 1, end))
-    found += [(*m.span(), 1) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    found += [(*m.span(), 1) for m in IP.finditer(text) if all(len(p := q.lstrip("0")) <= 3 and int(p or "0") <= 255 for q in m[0].split("."))]
     for m in CARD.finditer(text):
         if len(m[0]) >= 14 and 14 <= len(d := NOT_DIGIT.sub("", m[0])) <= 19 and luhn(d):
             found.append((*m.span(), 2))

@@ -163,29 +163,37 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row with the least id of each component (least fingerprint of equals), whole.
+    """The row with the least id of each component, whole (of equal ids the one with the least hash of its text).
 
     A component whose ids are all null keeps one of its rows.
     """
-    with_fp = add_fingerprints(docs.withColumnRenamed("fp", "_sq_own_fp") if "fp" in docs.columns else docs, text_col)
-    ids = materialize(add_fingerprints(docs, text_col, keep=[id_col]))  # texts are fingerprinted twice rather than stored
-    return keep_one(with_fp, ids, groups(ids, id_col), id_col).select(docs.columns)
+    hashed = docs.select(F.col(f"`{id_col}`").alias("_sq_own_id"), F.col(f"`{text_col}`").alias("_sq_own_text"), F.xxhash64(f"`{text_col}`").alias("_sq_h"))
+    signed = materialize(add_fingerprints(hashed, "_sq_own_text", keep=["_sq_own_id", "_sq_h"]))
+    ids = signed.select(F.col("_sq_own_id").alias(id_col), "fp", "_sq_h")
+    return keep_one(docs, ids, groups(ids, id_col), id_col, text_col)
 
 
-def keep_one(with_fp: DataFrame, ids: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
-    """The rows of ``with_fp`` that stay; ``ids`` has the id and ``fp`` of each, ``found`` the groups."""
+def keep_one(docs: DataFrame, ids: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that stay; ``ids`` has the id, ``fp`` and ``_sq_h`` (hash of the text) of each, ``found`` the groups.
+
+    Rows are chosen in the small table; texts are shuffled once, by a key of id and text that no
+    group of copies makes hot. Only rows that are repeated whole are then made distinct.
+    """
     found = found.select(F.col("fp").alias("_sq_fp"), "root")
-    chosen = (
-        ids.distinct().join(found, F.col("fp") == F.col("_sq_fp"))
+    one = ids.groupBy(id_col, "_sq_h", "fp").agg(F.count("*").alias("m"))
+    chosen = materialize(
+        one.join(found, F.col("fp") == F.col("_sq_fp"))
         .groupBy("root")
-        .agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("fp").alias("fp"))).alias("k"))
-        .select(F.xxhash64("k.fp", "k.id").alias("_sq_k"), F.col("k.id").alias("_sq_id"), F.col("k.fp").alias("_sq_fp"))
+        .agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_sq_h").alias("h"), F.col("m").alias("m"))).alias("k"))
+        .select(F.xxhash64("k.id", "k.h").alias("_sq_k"), F.col("k.id").alias("_sq_id"), F.col("k.h").alias("_sq_h"), F.col("k.m").alias("_sq_m"))
     )
-    # One key for both: copies of a hot text have ids of their own, so no key is hot.
-    kept = with_fp.withColumn("_sq_k", F.xxhash64("fp", id_col)).join(materialize(chosen), "_sq_k")
-    kept = kept.where((F.col("fp") == F.col("_sq_fp")) & F.col(id_col).eqNullSafe(F.col("_sq_id")))
-    kept = kept.dropDuplicates(["_sq_k", "_sq_fp"]).drop("fp", "_sq_k", "_sq_id", "_sq_fp")
-    return (kept.withColumnRenamed("_sq_own_fp", "fp") if "_sq_own_fp" in kept.columns else kept)
+    keyed = docs.withColumn("_sq_own_h", F.xxhash64(f"`{text_col}`")).withColumn("_sq_k", F.xxhash64(f"`{id_col}`", "_sq_own_h"))
+    kept = keyed.join(chosen, "_sq_k").where((F.col("_sq_own_h") == F.col("_sq_h")) & F.col(f"`{id_col}`").eqNullSafe(F.col("_sq_id")))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    once = kept.where("_sq_m = 1").select(*own)
+    if chosen.where("_sq_m > 1").isEmpty():
+        return once
+    return once.union(kept.where("_sq_m > 1").dropDuplicates(["_sq_k"]).select(*own))
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,7 +79,7 @@ class Counter:
         self.splits = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.pattern = regex.compile(pattern or public_tokenizers.PATTERN)
         self.longest_block = longest_block
-        self.cache = ChunkCache(self._new, most=1_500_000)
+        self.cache = ChunkCache(self._new, most=400_000)
 
     def pieces(self, sequences: list[bytes]) -> np.ndarray:
         """The number of symbols that survive in each sequence."""
