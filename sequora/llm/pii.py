@@ -4,12 +4,13 @@ The tokens of a document that hold a digit or ``@`` are the nodes of a field wit
 none, email, ip, card and phone. Neighbours are linked by chain potentials; equal tokens, and
 tokens with the same digits, anywhere in the document by skip potentials. Loopy message passing
 then makes the labels of such tokens agree, so that an item written again in a form that the base
-patterns miss is found too. Weights are fitted to base findings in a bounded sample of documents.
+patterns miss is found too. All weights are fitted together to base findings in a bounded sample of documents.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ KINDS = ["email", "ip", "card", "phone"]
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
-CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
+CARD = re.compile(r"[0-9]++(?:[ -][0-9]++)*+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
 TOKEN = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*")
@@ -31,6 +32,7 @@ EDGE = "\"'.,;:!?<>[]{}*#$%&|="
 DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 MAIL_LIKE = re.compile(r"[^@]+@[^@]+\.[^@]+")
 
+WIDE, LABELS = 18, 5  # features of a node; none and the four kinds
 Span = tuple[int, int, int]  # start, end, kind
 
 
@@ -62,123 +64,154 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found, key=lambda s: (s[0], s[2]))
 
 
-def _features(text: str, base: list[Span]) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray, list[str], list[str]]:
-    """Tokens of a text: places, features, labels of the base (0: none), and two keys of each for skip links."""
-    spans, rows, labels, keys, digit_keys = [], [], [], [], []
-    k = 0
-    for m in TOKEN.finditer(text):
-        lo, hi = m.span()
-        core = m[0].strip(EDGE)
-        digits = NOT_DIGIT.sub("", core)
-        n = len(digits)
-        while k < len(base) and base[k][1] <= lo:
-            k += 1
-        label = next((s[2] + 1 for s in base[k : k + 4] if s[0] < hi and s[1] > lo), 0)
-        spans.append((lo, hi))
-        labels.append(label)
-        rows.append(
-            [1, "@" in core, bool(MAIL_LIKE.fullmatch(core)) if "@" in core else False, bool(DOTTED.fullmatch(core)), 1 <= n <= 3, 4 <= n <= 9]
-            + [10 <= n <= 13, 14 <= n <= 19, n > 19, core[:1] == "+", "(" in core, "-" in core, len(core) > 2 * n, any(c.isalpha() for c in core[:64])]
-            + [label == i for i in range(1, 5)]
-        )
-        keys.append(core.lower())
-        digit_keys.append(digits if n >= 7 else "")
-    return spans, np.array(rows, float).reshape(-1, 18), np.array(labels, int), keys, digit_keys
-
-
-def _edges(spans: list, keys: list, digit_keys: list) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Chain links of neighbours and skip links of each token to the last one with its key."""
-    chain = [(i - 1, i) for i in range(1, len(spans)) if spans[i][0] - spans[i - 1][1] <= 2]
-    skip, last = set(), {}
-    for i, pair in enumerate(zip(keys, digit_keys)):
-        for what, key in enumerate(pair):
-            if len(key) >= 4:
-                if (j := last.get((what, key))) is not None:
-                    skip.add((j, i))
-                last[what, key] = i
-    return chain, sorted(skip)
+class Nodes:
+    """The nodes of a text: places, features, the base's labels (0: none), and chain and skip links."""
+
+    def __init__(self, text: str, base: list[Span]) -> None:
+        places, rows, labels, ids = array("q"), bytearray(), bytearray(), array("q")
+        k = 0
+        for m in TOKEN.finditer(text):
+            lo, hi = m.span()
+            core = m[0].strip(EDGE)
+            digits = NOT_DIGIT.sub("", core)
+            n = len(digits)
+            while k < len(base) and base[k][1] <= lo:
+                k += 1
+            label = next((s[2] + 1 for s in base[k : k + 4] if s[0] < hi and s[1] > lo), 0)
+            at = "@" in core
+            rows += bytes(
+                (1, at, at and MAIL_LIKE.fullmatch(core) is not None, DOTTED.fullmatch(core) is not None, 1 <= n <= 3, 4 <= n <= 9)
+                + (10 <= n <= 13, 14 <= n <= 19, n > 19, core[:1] == "+", "(" in core, "-" in core, len(core) > 2 * n, any(c.isalpha() for c in core[:64]))
+                + (label == 1, label == 2, label == 3, label == 4)
+            )
+            places.extend((lo, hi))
+            labels.append(label)
+            # Two keys of each node for skip links; short ones link with nothing (no hash is -1).
+            ids.append(hash(core.lower()) if len(core) >= 4 else -1)
+            ids.append(hash(digits) if n >= 7 else -1)
+        self.places = np.frombuffer(places, np.int64).reshape(-1, 2)
+        self.x = np.frombuffer(bytes(rows), np.uint8).reshape(-1, WIDE)
+        self.y = np.frombuffer(bytes(labels), np.uint8).astype(np.int64)
+        near = np.flatnonzero(self.places[1:, 0] - self.places[:-1, 1] <= 2)
+        self.chain = np.stack([near, near + 1], axis=1).astype(np.int32)
+        ids = np.frombuffer(ids, np.int64).reshape(-1, 2)
+        pairs = []
+        for column in (ids[:, 0], ids[:, 1]):
+            order = np.argsort(column, kind="stable").astype(np.int32)
+            order = order[column[order] != -1]
+            same = np.flatnonzero(column[order[1:]] == column[order[:-1]])
+            pairs.append(order[same].astype(np.int64) << 32 | order[same + 1])
+        both = np.unique(np.concatenate(pairs))  # a pair with both keys in common is linked once
+        self.skip = np.stack([both >> 32, both & 0xFFFFFFFF], axis=1).astype(np.int32)
+
+    def __len__(self) -> int:
+        return len(self.y)
 
 
 class Field:
-    """The fitted weights: node weights, chain potentials and skip potentials."""
+    """Node weights, chain potentials and skip potentials, fitted together by pseudo-likelihood.
 
-    def __init__(self, texts: list[str], steps: int = 300) -> None:
-        xs, ys, chain, skip = [np.zeros((0, 18))], [np.zeros(0, int)], np.ones((5, 5)), np.ones((5, 5))
+    A node's label is predicted from its features and the labels of its neighbours in the chain and by
+    skip links, so all three sets of weights share one convex loss. Each node counts twice: with what the base
+    says of it and without, so the field also learns to do without the base's findings.
+    """
+
+    def __init__(self, texts: list[str], steps: int = 400) -> None:
+        xs, ys, lefts, rights, skips = ([np.zeros((0, w))] for w in (WIDE, LABELS, LABELS, LABELS, LABELS))
         for text in texts:
-            base = base_spans(text)
-            spans, x, y, keys, digit_keys = _features(text, base)
-            links = _edges(spans, keys, digit_keys)
-            for table, pairs in zip((chain, skip), links):
-                for i, j in pairs:
-                    table[y[i], y[j]] += 1
-            xs.append(x)
-            ys.append(y)
-        x, y = np.concatenate(xs), np.concatenate(ys)
+            nodes = Nodes(text, base_spans(text))
+            one = np.eye(LABELS)[nodes.y]
+            around = [np.zeros((len(nodes), LABELS)) for _ in range(3)]
+            np.add.at(around[0], nodes.chain[:, 1], one[nodes.chain[:, 0]])
+            np.add.at(around[1], nodes.chain[:, 0], one[nodes.chain[:, 1]])
+            for i, j in ((0, 1), (1, 0)):
+                np.add.at(around[2], nodes.skip[:, i], one[nodes.skip[:, j]])
+            for rows, more in zip((xs, ys, lefts, rights, skips), (nodes.x, one, *around)):
+                rows.append(more)
+        x, y, left, right, skip = map(np.concatenate, (xs, ys, lefts, rights, skips))
         blind = x.copy()
-        blind[:, -4:] = 0  # the field also learns to do without the base's findings
-        x, y = np.concatenate([x, blind]), np.concatenate([y, y])
-        self.node = np.zeros((18, 5))
+        blind[:, -4:] = 0
+        x, y, left, right, skip = (np.concatenate(p) for p in ((x, blind), (y, y), (left, left), (right, right), (skip, skip)))
+        self.node, self.chain, self.skip = np.zeros((WIDE, LABELS)), np.zeros((LABELS, LABELS)), 3 * np.eye(LABELS)
         self.node[-4:, 1:] = 4 * np.eye(4)
-        for _ in range(steps if len(y) else 0):
-            p = np.exp(x @ self.node - (x @ self.node).max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(y)), y] -= 1
-            self.node -= 1.5 * (x.T @ p / len(y) + 1e-4 * self.node)
-        pmi = lambda t: np.log(t / t.sum()) - np.log(t.sum(1, keepdims=True) / t.sum()) - np.log(t.sum(0, keepdims=True) / t.sum())
-        self.chain = np.clip(pmi(chain), -2, 2)
-        agree = np.trace(skip) / skip.sum()
-        self.skip = np.eye(5) * np.clip(np.log(agree / (1 - agree) + 1) + 1, 1.5, 4)
-
-    def marginals(self, x: np.ndarray, chain: list, skip: list, rounds: int = 10) -> np.ndarray:
-        """Label probabilities of each node by loopy sum-product messages, damped by half."""
-        score = x @ self.node
-        pairs = np.array(chain + skip, int).reshape(-1, 2)
-        if len(pairs):
-            table = np.concatenate([np.repeat(self.chain[None], len(chain), 0), np.repeat(self.skip[None], len(skip), 0)])
-            src, dst = np.r_[pairs[:, 0], pairs[:, 1]], np.r_[pairs[:, 1], pairs[:, 0]]
-            table = np.concatenate([table, table.transpose(0, 2, 1)])
-            back = np.r_[np.arange(len(pairs)) + len(pairs), np.arange(len(pairs))]
-            msg = np.zeros((len(src), 5))
-            for _ in range(rounds):
-                belief = score.copy()
-                np.add.at(belief, dst, msg)
-                out = belief[src] - msg[back]
-                new = np.logaddexp.reduce(out[:, :, None] + table, axis=1)
-                msg = 0.5 * msg + 0.5 * (new - new.max(axis=1, keepdims=True))
-            score = score.copy()
-            np.add.at(score, dst, msg)
-        p = np.exp(score - score.max(axis=1, keepdims=True))
+        start = [w.copy() for w in (self.node, self.chain, self.skip)]
+        mean, square = [np.zeros_like(w) for w in start], [np.zeros_like(w) for w in start]
+        for step in range(1, steps + 1 if len(y) else 1):
+            z = x @ self.node + left @ self.chain + right @ self.chain.T + skip @ self.skip
+            p = np.exp(z - z.max(axis=1, keepdims=True))
+            p = (p / p.sum(axis=1, keepdims=True) - y) / len(y)
+            skips = skip.T @ p
+            for k, (w, grad) in enumerate(zip((self.node, self.chain, self.skip), (x.T @ p, left.T @ p + p.T @ right, (skips + skips.T) / 2))):
+                grad = grad + 1e-4 * (w - start[k])
+                mean[k] = 0.9 * mean[k] + 0.1 * grad
+                square[k] = 0.99 * square[k] + 0.01 * grad**2
+                w -= 0.05 * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-8)
+
+    def marginals(self, nodes: Nodes, rounds: int = 10, part: int = 65_536) -> np.ndarray:
+        """Label probabilities of each node by loopy sum-product messages, damped by half.
+
+        Two messages of five numbers a link, sent in parts of a bounded size: memory is linear in the text.
+        """
+        score = nodes.x.astype(np.float32) @ self.node.astype(np.float32)
+        kinds = [(pairs, np.exp(np.clip(table, -20, 20)).astype(np.float32)) for pairs, table in ((nodes.chain, self.chain), (nodes.skip, self.skip)) if len(pairs)]
+        sent = [np.zeros((2, len(pairs), LABELS), np.float32) for pairs, _ in kinds]  # forth and back along each link
+
+        def belief() -> np.ndarray:
+            total = score.copy()
+            for (pairs, _), messages in zip(kinds, sent):
+                for way in (0, 1):
+                    np.add.at(total, pairs[:, 1 - way], messages[way])
+            return total
+
+        for _ in range(rounds if kinds else 0):
+            total, fresh = belief(), []
+            for (pairs, table), messages in zip(kinds, sent):
+                new = np.empty_like(messages)
+                for way in (0, 1):
+                    for lo in range(0, len(pairs), part):
+                        own = slice(lo, lo + part)
+                        out = total[pairs[own, way]] - messages[1 - way, own]
+                        out = np.exp(out - out.max(axis=1, keepdims=True)) @ (table if way == 0 else table.T)
+                        out = np.log(out + np.float32(1e-30))
+                        new[way, own] = 0.5 * messages[way, own] + 0.5 * (out - out.max(axis=1, keepdims=True))
+                fresh.append(new)
+            sent = fresh
+        total = belief()
+        p = np.exp(total - total.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)
 
     def more_spans(self, text: str, base: list[Span], least: float = 0.9) -> list[Span]:
-        """Spans that the field adds: runs of tokens outside the base with one label, of a fitting size."""
-        spans, x, _, keys, digit_keys = _features(text, base)
-        if not spans:
+        """Spans that the field adds: runs of nodes outside the base with one label, of a fitting size."""
+        nodes = Nodes(text, base)
+        if not len(nodes):
             return []
-        p = self.marginals(x, *_edges(spans, keys, digit_keys))
-        taken = [any(s[0] < hi and s[1] > lo for s in base) for lo, hi in spans] if len(base) * len(spans) < 1000 else _overlaps(spans, base)
-        label = np.where((p.max(axis=1) >= least) & ~np.array(taken), p.argmax(axis=1), 0)
-        out, i = [], 0
-        while i < len(spans):
-            j = i + 1
-            while label[i] and j < len(spans) and label[j] == label[i] and spans[j][0] - spans[j - 1][1] <= 1:
-                j += 1
-            if label[i]:
-                raw = text[spans[i][0] : spans[j - 1][1]]
-                core = raw.strip(EDGE)
-                lo = spans[i][0] + len(raw) - len(raw.lstrip(EDGE))
-                n, kind = len(NOT_DIGIT.sub("", core)), label[i] - 1
-                if [bool(MAIL_LIKE.fullmatch(core)), bool(DOTTED.fullmatch(core)), 14 <= n <= 19, 10 <= n <= 15][kind]:
-                    out.append((lo, lo + len(core), int(kind)))
-            i = j
+        p = self.marginals(nodes)
+        label = np.where((p.max(axis=1) >= least) & ~_overlaps(nodes.places, base), p.argmax(axis=1), 0)
+        out, last = [], -1
+        for i in np.flatnonzero(label).tolist():
+            if i <= last:
+                continue
+            last = i
+            while last + 1 < len(label) and label[last + 1] == label[i] and nodes.places[last + 1, 0] - nodes.places[last, 1] <= 1:
+                last += 1
+            lo = int(nodes.places[i, 0])
+            raw = text[lo : int(nodes.places[last, 1])]
+            core = raw.strip(EDGE)
+            lo += len(raw) - len(raw.lstrip(EDGE))
+            n, kind = len(NOT_DIGIT.sub("", core)), int(label[i]) - 1
+            if [MAIL_LIKE.fullmatch(core) is not None, DOTTED.fullmatch(core) is not None, 14 <= n <= 19, 10 <= n <= 15][kind]:
+                out.append((lo, lo + len(core), kind))
         return out
 
 
-def _overlaps(spans: list, base: list[Span]) -> list[bool]:
-    starts = np.array([s[0] for s in base], int)
-    reach = np.maximum.accumulate(np.array([s[1] for s in base], int)) if base else starts
-    at = np.searchsorted(starts, [hi for _, hi in spans]) - 1
-    return [k >= 0 and reach[k] > lo for k, (lo, _) in zip(at, spans)]
+def _overlaps(places: np.ndarray, base: list[Span]) -> np.ndarray:
+    """Which places overlap a span."""
+    if not base:
+        return np.zeros(len(places), bool)
+    starts = np.array([s[0] for s in base], np.int64)
+    reach = np.maximum.accumulate(np.array([s[1] for s in base], np.int64))
+    at = np.searchsorted(starts, places[:, 1]) - 1
+    return (at >= 0) & (reach[np.maximum(at, 0)] > places[:, 0])
 
 
 def fit_field(docs: DataFrame, text_col: str = "text", sample: int = 512, longest: int = 20_000) -> Field:
@@ -213,7 +246,8 @@ def find_pii(docs: DataFrame, text_col: str = "text", field: Field | None = None
 
     ``spans`` holds the base findings and those of the field. Null text counts as empty and has
     none (its ``masked`` is empty). Repeated rows are treated alike; an empty table gives an empty
-    one; columns of the input named like a new one are replaced.
+    one; columns of the input named like a new one are replaced. A text is held whole by one task;
+    beside it a token with a digit or ``@`` takes some 400 bytes (5 MB of numbers: under 500 MB).
     """
     field = field or fit_field(docs, text_col)
 

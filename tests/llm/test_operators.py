@@ -1,5 +1,6 @@
 """The ten operators against plain versions, with the awkward rows of every kind."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -362,6 +363,40 @@ def test_base_spans(text):
     assert pii.base_spans(text) == brute.base_spans(text)
 
 
+@given(st.lists(st.sampled_from(["0" * 5000, "9" * 5000, "1.2.3", ".4", "12", " ", "+1", "-", "@a.b", "0" * 300 + "7"]), max_size=8).map("".join))
+@settings(max_examples=60, deadline=None)
+def test_base_spans_of_long_runs(text):
+    assert pii.base_spans(text) == brute.base_spans(text)
+    pii.Field([]).more_spans(text, pii.base_spans(text))
+
+
+def test_a_long_text_of_numbers_takes_linear_memory():
+    import tracemalloc
+
+    rng = random.Random(3)
+    text = " ".join(str(rng.randrange(10 ** rng.randrange(2, 12))) for _ in range(140_000))  # 1 MB
+    tracemalloc.start()
+    pii.Field([]).more_spans(text, pii.base_spans(text))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 * len(text)
+
+
+def test_op8_query(spark, tmp_path):
+    texts = [*sample(), None, "", "same 4111 1111 1111 1111", "same 4111 1111 1111 1111", "x " * 500_000 + "a@b.co", "0" * 6000 + ".1.2.3"]
+    df = spark.createDataFrame([(i, t, "mine") for i, t in enumerate(texts)], "doc_id long, text string, spans string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    kinds = ["email", "ip", "card", "phone"]
+    field = pii.fit_field(df)
+    for r in pii.op8_pii(spark, str(tmp_path)).collect():
+        text = texts[r.doc_id] or ""
+        base = brute.base_spans(text)
+        shown = lambda spans: ",".join(f"{kinds[k]}:{a}:{b}" for a, b, k in spans)
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == j for *_, k in base) for j in range(4)]
+        assert r.base_sha256 == hashlib.sha256(shown(base).encode()).hexdigest()
+        assert r.spans == shown(sorted(base + field.more_spans(text, base), key=lambda s: (s[0], s[2])))
+
+
 def test_base_spans_of_cards():
     for text in ("4111 1111 1111 1111", "x4111-1111-1111-1111y", "4111111111111112", "+1 (523) 555-1055 a@b.co 8.8.8.8 300.1.1.1 1.2.3.4.5"):
         assert pii.base_spans(text) == brute.base_spans(text)
@@ -422,11 +457,12 @@ def similar_groups(texts):
     return brute.union(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])])
 
 
-@pytest.mark.parametrize("tile", [8, 256])
-def test_near_copies_are_all_found(spark, monkeypatch, tile):
+@pytest.mark.parametrize("tile, few", [(8, 4), (256, 64)])
+def test_near_copies_are_all_found(spark, monkeypatch, tile, few):
     from sequora.llm import near_copies
 
     monkeypatch.setattr(near_copies, "TILE", tile)
+    monkeypatch.setattr(near_copies, "FEW", few)
     rng, texts = random.Random(tile), []
     for k in range(25):  # edited copies on both sides of the threshold, below a line that all texts share
         base = [f"{rng.choice(WORDS)}{rng.randrange(50)}" for _ in range(rng.randrange(20, 300))]
