@@ -97,7 +97,8 @@ def collapsed(aligned: DataFrame) -> DataFrame:
 def rewrite(df: DataFrame, text_col: str, pattern: str, replacement: str, fuel: int, max_size: int, round_steps: int = 8) -> DataFrame:
     """Add ``outcome``, ``steps`` and ``status``: rewrite the first match until nothing changes.
 
-    Before each step: out of fuel is ``divergent``, longer than ``max_size`` is ``explosive``; a text
+    The result is written: a predicate on it that reached the plan below would run the steps again for
+    each place where it stands. Before each step: out of fuel is ``divergent``, longer than ``max_size`` is ``explosive``; a text
     that no longer changes is ``normal``. ``outcome`` is null unless normal. Large fuel runs in rounds of ``round_steps``, and
     only rows that are not done go on to the next round.
     """
@@ -120,11 +121,10 @@ def rewrite(df: DataFrame, text_col: str, pattern: str, replacement: str, fuel:
     while True:
         some = min(round_steps, fuel - spent + 1)
         run = F.aggregate(F.sequence(F.lit(1), F.lit(some)), F.col("_s"), step)
-        left, spent = left.withColumn("_s", run), spent + some
+        left, spent = materialize(left.withColumn("_s", run)), spent + some
         if spent > fuel:
             done.append(left)
             break
-        left = materialize(left)
         done.append(left.where("_s.status IS NOT NULL"))
         left = left.where("_s.status IS NULL")
     out = done[0]

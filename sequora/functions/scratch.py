@@ -16,13 +16,16 @@ _FOLDERS: dict[str, str] = {}
 def shared_folder(spark: SparkSession) -> str:
     """The folder for scratch tables of this session, below ``spark.checkpoint.dir``.
 
-    Only where neither that setting nor a checkpoint folder is given (tests, one machine) a
-    temporary folder is made. The folder is removed when the Python process ends.
+    Only where neither that setting nor a checkpoint folder is given, and the driver is the only
+    machine (tests), a temporary folder is made. The folder is removed when the Python process ends.
     """
     app = spark.sparkContext.applicationId
     if app not in _FOLDERS:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         if not base:
+            master = spark.sparkContext.master
+            if not master.startswith("local") or master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="spark-")
             spark.sparkContext.setCheckpointDir(base)
         _FOLDERS[app] = f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"

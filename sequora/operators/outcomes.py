@@ -29,9 +29,9 @@ def substructures(rows: DataFrame, text_col: str = "outcome", min_len: int = 1,
     ``max_len`` bounds the rows to that many for each character.
     """
     text = F.col(text_col)
-    starts = F.sequence(F.lit(1), F.length(text))
-    parts = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(min_len), F.lit(max_len)), lambda n: F.when(i + n - 1 <= F.length(text), F.substring(text, i, n)))))
-    return rows.where(F.length(text) >= min_len).withColumn("sub", F.explode(F.filter(parts, lambda x: x.isNotNull())))
+    starts = rows.where(F.length(text) >= min_len).withColumn("_i", F.explode(F.sequence(F.lit(1), F.length(text) - min_len + 1)))
+    parts = starts.withColumn("_n", F.explode(F.sequence(F.lit(min_len), F.least(F.lit(max_len), F.length(text) - F.col("_i") + 1))))
+    return parts.withColumn("sub", F.substring(text, F.col("_i"), F.col("_n"))).drop("_i", "_n")
 
 
 def _normal(outcomes: DataFrame) -> DataFrame:

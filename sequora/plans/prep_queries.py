@@ -21,11 +21,11 @@ def _(spark, sf):
     return readers.parse_lexicon(noise)
 
 
-@query("src5_route_by_name", """WITH f(p, g) AS (VALUES ('src1', 'a'), ('src2', 'b'), ('src3', 'a'))
-SELECT doc_id, g AS grp FROM documents JOIN f ON source = p""")
+@query("src5_route_by_name", "SELECT doc_id, 'g' || right(source, 1) AS grp FROM documents WHERE source IS NOT NULL")
 def _(spark, sf):
     rows = fx.table(spark, sf, "documents").select("doc_id", F.concat("source", F.lit("_broad.tsv")).alias("file"))
-    return readers.route_by_name(rows, spark.createDataFrame([("src1", "a"), ("src2", "b"), ("src3", "a")], "prefix string, grp string")).select("doc_id", "grp")
+    sources = fx.table(spark, sf, "documents").where("source IS NOT NULL").select(F.col("source").alias("prefix")).distinct()
+    return readers.route_by_name(rows, sources.withColumn("grp", F.concat(F.lit("g"), F.right("prefix", F.lit(1))))).select("doc_id", "grp")
 
 
 @query("src6_checksums")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scratch import shared_folder
@@ -11,6 +13,7 @@ from ..operators import outcomes as O
 from ..operators import trie as T
 from ..sources import readers, writers
 from . import fixtures as fx
+from .prep_queries import INVENT
 from .registry import LEX, NODES, OUT, REPORT, query
 from .survey_queries import SUBS, reports
 from .trie_queries import nodes
@@ -20,23 +23,38 @@ def place(spark) -> str:
     return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
-@query("src2_dictionary", f"WITH {LEX} SELECT grp, word, upper(word) AS transcription FROM lex WHERE grp = 'es'")
+def groups(words: DataFrame) -> list[str]:
+    """The names of the groups: as few as there are languages."""
+    return sorted(r.grp for r in words.select("grp").distinct().collect())
+
+
+@query("src2_dictionary", f"WITH {LEX} SELECT grp, word, reverse(word) AS transcription FROM lex")
 def _(spark, sf):
-    path, words = place(spark), fx.lexicon(spark, sf).where("grp = 'es'")
-    line = F.concat_ws("\t", "key", F.upper("key"))
-    words.select(F.explode(F.array(line, F.concat(F.lit(";;; "), line), F.concat_ws("\t", F.concat("key", F.lit("(2)")), "key"))).alias("value")).write.text(path)
-    return readers.read_dictionary(spark, path, "es")
+    path, words = place(spark), fx.lexicon(spark, sf)
+    line = F.concat_ws("\t", "key", F.reverse("key"))
+    words.select(F.explode(F.array(line, F.concat(F.lit(";;; "), line), F.concat_ws("\t", F.concat("key", F.lit("(2)")), "key"))).alias("value"), "grp").write.partitionBy("grp").text(path)
+    return reduce(DataFrame.union, [readers.read_dictionary(spark, f"{path}/grp={g}", g) for g in groups(words)])
 
 
-@query("src3_multi_values", f"""WITH {LEX}, t AS (SELECT word, unnest([word, word || 'ä']) AS x FROM lex WHERE grp = 'de')
-SELECT 'de' AS grp, word AS key, translate(x, 'äöü', 'aou') AS norm, x AS surface FROM t""")
+@query("src3_multi_values", f"""WITH {LEX}, t AS (SELECT word, grp, unnest([word, word || 'ä']) AS x FROM lex)
+SELECT grp, word AS key, CASE grp WHEN 'de' THEN translate(x, 'äöü', 'aou') WHEN 'fr' THEN translate(x, 'éèê', 'eee') ELSE x END AS norm, x AS surface FROM t""")
 def _(spark, sf):
-    path, words = place(spark), fx.lexicon(spark, sf).where("grp = 'de'")
-    words.select(F.concat(F.col("key"), F.lit("\t/"), F.col("key"), F.lit("/, /"), F.col("key"), F.lit("ä/, //")).alias("value")).write.text(path)
-    rows = readers.read_multi(spark, path, "de", fx.SURFACE_MAP)
+    path, words = place(spark), fx.lexicon(spark, sf)
+    words.select(F.concat(F.col("key"), F.lit("\t/"), F.col("key"), F.lit("/, /"), F.col("key"), F.lit("ä/, //")).alias("value"), "grp").write.partitionBy("grp").text(path)
+    rows = reduce(DataFrame.union, [readers.read_multi(spark, f"{path}/grp={g}", g, fx.SURFACE_MAP) for g in groups(words)])
     return rows.select("grp", "key", F.array_join("norm", "").alias("norm"), F.array_join("surface", "").alias("surface"))
 
 
+@query("src4_read_inventory", f"WITH {INVENT} SELECT grp, token, false AS marginal FROM inv")
+def _(spark, sf):
+    path, rows = place(spark), fx.inventory(spark, sf).select("grp", "token")
+    # The inventory with the least id counts; one with a larger id and empty tokens don't.
+    row = lambda i, token: F.struct(F.lit(i).alias("InventoryID"), token.alias("Phoneme"))
+    more = F.explode(F.array(row(7, F.col("token")), row(7, F.lit("")), row(12, F.concat("token", F.lit("x")))))
+    rows.select(F.col("grp").alias("ISO6393"), more.alias("x")).select("x.InventoryID", "ISO6393", "x.Phoneme").write.csv(path, header=True)
+    return readers.read_inventory(spark, path, {g: g for g in groups(rows)})
+
+
 @query("src7_read_export", f"WITH {NODES} SELECT path, depth::BIGINT AS depth, total FROM kept")
 def _(spark, sf):
     path, kept = place(spark), nodes(spark, sf)
@@ -45,11 +63,11 @@ def _(spark, sf):
     return rows.select(F.coalesce(F.array_join("path", ""), F.lit("")).alias("path"), "depth", "total")
 
 
-@query("snk1_reload_group", f"WITH {LEX} SELECT grp, word AS key, (n + CASE WHEN grp = 'de' THEN 1 ELSE 0 END)::BIGINT AS n FROM lex")
+@query("snk1_reload_group", f"WITH {LEX} SELECT grp, word AS key, (n + CASE WHEN grp = 'de' THEN 1 ELSE 0 END)::BIGINT AS n FROM lex WHERE grp <> 'fr'")
 def _(spark, sf):
     path, words = place(spark), fx.lexicon(spark, sf).select("grp", "key", "n")
     writers.replace_partitions(words, path, ["grp"])
-    writers.replace_partitions(words.where("grp = 'de'").withColumn("n", F.col("n") + 1), path, ["grp"])
+    writers.reload_groups(words.where("grp = 'de'").withColumn("n", F.col("n") + 1), path, "grp", ["de", "fr"])  # no rows for fr any more
     return spark.read.parquet(path).select("grp", "key", "n")
 
 
@@ -81,7 +99,8 @@ def _(spark, sf):
 def _(spark, sf):
     path, rows = place(spark), fx.outcomes(spark, sf).select("experiment", "size", "input", "outcome", "steps", "status")
     writers.append_outcomes(rows.where("experiment = 'en'"), path)
-    writers.append_outcomes(rows.where("experiment <> 'en'"), path)
+    for _ in range(2):  # a retry adds nothing
+        writers.append_outcomes(rows.where("experiment <> 'en'"), path)
     return spark.read.parquet(path).select("experiment", "size", "input", "outcome", "steps", "status")
 
 
@@ -93,12 +112,12 @@ def _(spark, sf):
     return rows.select(F.coalesce(F.array_join("source", ""), F.lit("")).alias("source"), F.array_join("target", "").alias("target"), "token")
 
 
-@query("snk9_report_csv", f"""WITH {SUBS}, f AS (SELECT experiment, sub, min(size) AS size FROM sub GROUP BY ALL), m AS (SELECT size, count(*) AS motifs FROM f WHERE experiment = 'en' GROUP BY size),
-r AS (SELECT size, count(*) AS total, count(DISTINCT outcome) AS distinct, round(count(DISTINCT outcome) / count(*), 6) AS ratio, count(*) FILTER (status = 'divergent') AS divergent, count(*) FILTER (status = 'explosive') AS explosive,
-round(coalesce(avg(steps) FILTER (status = 'normal'), 0), 6) AS avg, coalesce(max(steps) FILTER (status = 'normal'), 0) AS max FROM outcomes WHERE experiment = 'en' GROUP BY size)
-SELECT r.*, coalesce(motifs, 0) AS motifs FROM r LEFT JOIN m USING (size)""")
+@query("snk9_report_csv", f"""WITH {SUBS}, f AS (SELECT experiment, sub, min(size) AS size FROM sub GROUP BY ALL), m AS (SELECT experiment, size, count(*) AS motifs FROM f GROUP BY ALL),
+r AS (SELECT experiment, size, count(*) AS total, count(DISTINCT outcome) AS distinct, round(count(DISTINCT outcome) / count(*), 6) AS ratio, count(*) FILTER (status = 'divergent') AS divergent, count(*) FILTER (status = 'explosive') AS explosive,
+round(coalesce(avg(steps) FILTER (status = 'normal'), 0), 6) AS avg, coalesce(max(steps) FILTER (status = 'normal'), 0) AS max FROM outcomes GROUP BY ALL)
+SELECT r.*, coalesce(motifs, 0) AS motifs FROM r LEFT JOIN m USING (experiment, size)""")
 def _(spark, sf):
-    path, rows = place(spark), fx.outcomes(spark, sf).where("experiment = 'en'")
+    path, rows = place(spark), fx.outcomes(spark, sf)
     both = O.size_report(rows).join(O.new_motifs(rows), ["experiment", "size"], "left").na.fill(0, ["new_motifs"])
-    writers.export_report(both, path)
-    return spark.read.csv(path, header=True, schema="size int, total long, distinct long, ratio double, divergent long, explosive long, motifs long, avg double, max int")
+    writers.export_report(both, path, by="experiment")
+    return spark.read.csv(path, header=True, schema="size int, total long, distinct long, ratio double, divergent long, explosive long, motifs long, avg double, max int, experiment string")

@@ -59,7 +59,10 @@ def route_by_name(rows: DataFrame, prefixes: DataFrame) -> DataFrame:
 
 
 def checksums(spark: SparkSession, path: str, manifest: DataFrame | None = None) -> DataFrame:
-    """``(file, sha256)`` of each file, and with ``manifest(file, expected)`` whether it is as expected."""
+    """``(file, sha256)`` of each file, and with ``manifest(file, expected)`` whether it is as expected.
+
+    A file is one row, so it may have 2 GB at most; larger tables should be kept as several part files.
+    """
     files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"))
     return files if manifest is None else files.join(manifest, "file").withColumn("ok", F.col("sha256") == F.lower("expected"))
 

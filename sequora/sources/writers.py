@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,17 +20,33 @@ def replace_partitions(df: DataFrame, path: str, keys: list[str]) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
+def reload_groups(df: DataFrame, path: str, key: str, groups: list[str]) -> None:
+    """Replace the rows of ``groups`` by those that ``df`` has for them; a group without new rows is emptied."""
+    new = df.where(F.col(key).isin(groups))
+    gone = set(groups) - {r[0] for r in new.select(key).distinct().collect()}
+    replace_partitions(new, path, [key])
+    jvm = df.sparkSession.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
+    for status in fs.listStatus(at):
+        name, _, value = status.getPath().getName().partition("=")
+        if name == key and unquote(value) in gone:
+            fs.delete(status.getPath(), True)
+
+
 def insert_absent(df: DataFrame, path: str, keys: list[str]) -> None:
-    """Append the rows whose key the table doesn't have yet, each key once."""
+    """Append the rows whose key the table doesn't have yet, each key once; null is a key like any other."""
     new = df.dropDuplicates(keys)
     if _exists(df.sparkSession, path):
-        new = new.join(df.sparkSession.read.parquet(path).select(*keys), keys, "left_anti")
+        old = df.sparkSession.read.parquet(path).select(*[F.col(k).alias(f"_old_{k}") for k in keys])
+        same = [F.col(k).eqNullSafe(F.col(f"_old_{k}")) for k in keys]
+        new = new.join(old, reduce(and_, same), "left_anti")
     new.write.mode("append").parquet(path)
 
 
 def append_outcomes(df: DataFrame, path: str) -> None:
-    """Append outcomes in one commit, partitioned by experiment and size."""
-    df.write.mode("append").partitionBy("experiment", "size").parquet(path)
+    """Add the outcomes of whole (experiment, size) pairs; writing a pair again replaces it, so a retry adds nothing twice."""
+    replace_partitions(df, path, ["experiment", "size"])
 
 
 def to_do(sizes: DataFrame, reports: DataFrame) -> DataFrame:
@@ -74,7 +94,8 @@ def export_stats(stats: DataFrame, path: str) -> None:
     nested_stats(stats).write.mode("overwrite").json(path)
 
 
-def export_report(reports: DataFrame, path: str) -> None:
-    """Reports as CSV with the columns size, total, distinct, ratio, divergent, explosive, motifs, avg, max."""
+def export_report(reports: DataFrame, path: str, by: str | None = None) -> None:
+    """Reports as CSV with the columns size, total, distinct, ratio, divergent, explosive, motifs, avg, max; a folder for each value of ``by``."""
     names = {"size": "size", "total": "total", "distinct_outcomes": "distinct", "ratio": "ratio", "divergent": "divergent", "explosive": "explosive", "new_motifs": "motifs", "avg_steps": "avg", "max_steps": "max"}
-    reports.select(*[F.col(a).alias(b) for a, b in names.items()]).write.mode("overwrite").csv(path, header=True)
+    out = reports.select(*[F.col(a).alias(b) for a, b in names.items()], *[by] * (by is not None)).write.mode("overwrite")
+    (out.partitionBy(by) if by else out).csv(path, header=True)

@@ -12,7 +12,7 @@ import pytest
 import __spark_entry__ as entry
 
 DATA = "/root/testdata/sf0.001"
-SAMPLE = ["tri13_depth_stats", "tri07_entropy", "ngr3_transition_matrix", "out1_size_report", "val2_report", "min4_similarity"]
+SAMPLE = ["tri13_depth_stats", "tri07_entropy", "ngr3_transition_matrix", "out1_size_report", "val2_report", "min4_similarity", "flt1_valid_facts", "flt6_parents", "val1_validate", "src4_read_inventory", "snk1_reload_group", "snk9_report_csv", "out3_new_motifs"]
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 
 
