@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, materialize
 
 RUNS = [(re.compile("[A-ZÀ-ÖØ-Þ]+"), "X"), (re.compile(r"[^\W\d_X]+"), "x"), (re.compile(r"\d+"), "9"), (re.compile(r"(.)\1+"), r"\1")]
 
@@ -122,16 +122,16 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     Texts of over ``longest`` characters are not among them; the two bounds limit what reaches the
     driver. Only the rows of ``labels`` are used, and only their texts and labels.
     """
-    chosen = (
-        labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-        .select(F.col(id_col).alias("_sq_id"), F.col(label_col).cast("int").alias("_sq_label"))
-        .orderBy(F.xxhash64("_sq_id"), "_sq_id", "_sq_label").limit(2 * sample)
+    marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(
+        F.col(id_col).alias("_sq_id"), F.col(label_col).cast("int").alias("_sq_label")
     )
     texts = docs.where(F.length(text_col) <= longest).select(F.col(id_col).alias("_sq_own"), F.col(text_col).alias("_sq_text"))
+    # Ids are joined first, so labels of other documents take no place in the sample; then its texts are fetched.
+    order = [F.xxhash64("_sq_id"), F.col("_sq_id"), F.col("_sq_label")]
+    chosen = marked.join(texts.select("_sq_own").distinct(), F.col("_sq_own") == F.col("_sq_id")).drop("_sq_own").orderBy(*order).limit(sample)
     rows = (
-        texts.join(F.broadcast(chosen), F.col("_sq_own") == F.col("_sq_id"))  # 2 * sample rows at most
-        .select("_sq_text", "_sq_label", "_sq_id")
-        .orderBy(F.xxhash64("_sq_id"), "_sq_id", "_sq_text", "_sq_label").limit(sample).collect()
+        texts.join(F.broadcast(materialize(chosen)), F.col("_sq_own") == F.col("_sq_id"))  # ``sample`` rows at most
+        .select("_sq_text", "_sq_label", "_sq_id").orderBy(*order, "_sq_text").limit(sample).collect()
     )
     return QualityModel([r._sq_text for r in rows], [r._sq_label for r in rows])
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, map_texts, materialize, ship
+from .common import SlotFilter, components, map_texts, materialize, ship
 from .xxh import xxh64
 
 BITS = 4
@@ -69,12 +69,29 @@ def add_fingerprints(docs: DataFrame, text_col: str = "text", keep: list[str] |
     return map_texts(docs, lambda texts: [pa.array(fingerprints(texts), pa.int64())], "fp long", text_col, keep)
 
 
-def ball_keys(fp) -> list:
-    """The 65 keys of a fingerprint column: 33 of the first segment, 32 of the second."""
-    a, b = F.shiftrightunsigned(fp, 32), fp.bitwiseAND(F.lit(0xFFFFFFFF))
-    centres = [a] + [a.bitwiseXOR(F.lit(1 << i)) for i in range(32)]
-    masked = [b.bitwiseAND(F.lit(0xFFFFFFFF ^ (1 << i))).bitwiseOR(F.lit((i + 1) << 32)) for i in range(32)]
-    return centres + masked
+def ball_keys(fps: np.ndarray) -> np.ndarray:
+    """The 65 keys of each fingerprint, a row each: 33 of the first segment, 32 of the second."""
+    bits = fps.view(np.uint64)
+    first, second = bits >> np.uint64(32), bits & np.uint64(0xFFFFFFFF)
+    flips = np.uint64(1) << np.arange(32, dtype=np.uint64)
+    centres = np.concatenate([first[:, None], first[:, None] ^ flips], axis=1)
+    masked = second[:, None] & ~flips | np.arange(1, 33, dtype=np.uint64) << np.uint64(32)
+    return np.concatenate([centres, masked], axis=1).view(np.int64)
+
+
+def _keyed(distinct: DataFrame, wanted: SlotFilter | None = None) -> DataFrame:
+    """``(fp, key)`` for each key of a fingerprint, or for those that the filter lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = batch.column(0).to_numpy()
+            key, fp = ball_keys(fps).reshape(-1), np.repeat(fps, 65)
+            if wanted is not None:
+                some = wanted(key)
+                key, fp = key[some], fp[some]
+            yield pa.RecordBatch.from_arrays([pa.array(fp, pa.int64()), pa.array(key, pa.int64())], names=["fp", "key"])
+
+    return distinct.select("fp").mapInArrow(run, "fp long, key long")
 
 
 def _forest(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,8 +144,9 @@ def links(distinct: DataFrame) -> DataFrame:
     ship(distinct.sparkSession)
     # A small table becomes 65 times as many rows, so it is dealt to as many tasks as any shuffle.
     distinct = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
-    keyed = distinct.select("fp", F.explode(F.array(*ball_keys(F.col("fp")))).alias("key"))
-    many = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / TILE).cast("int").alias("blocks")))
+    counts = _keyed(distinct).groupBy("key").agg(F.count("*").alias("n"))
+    many = materialize(counts.where("n > 1").select("key", F.ceil(F.col("n") / TILE).cast("int").alias("blocks")))
+    keyed = _keyed(distinct, SlotFilter(many, "key"))
     own = F.pmod(F.xxhash64("fp"), "blocks")
     members = keyed.join(many, "key").select("key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     tiles = members.select("key", F.least("own", "other").cast("long").alias("x"), F.greatest("own", "other").cast("long").alias("y"), "fp")
