@@ -1,10 +1,9 @@
 """Language identification by cross-parsing entropy.
 
 For each language a suffix automaton is built over a bounded sample of its labelled text. A text
-is cut into phrases, each the longest match that the automaton still follows; the fewer phrases a
-character, the closer the text is to the sample, and the language with the fewest wins. Words are
-parsed with the spaces around them, and a word's phrase counts are kept, so each new word of
-a batch walks all automata once, side by side in numpy.
+is cut into phrases, each the longest match that the automaton still follows, wherever it begins and
+ends; the fewer phrases a character, the closer the text is to the sample, and the language with the
+fewest wins. What is parsed is the running text in lower case, letters only, one space between words.
 """
 
 from __future__ import annotations
@@ -12,7 +11,6 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,17 +18,23 @@ from pyspark.sql import functions as F
 from .common import map_texts
 
 UNKNOWN = "und"
+SAMPLE_CHARS = 640_000  # of all languages together: some 700 bytes each in every worker
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
     """Runs of letters, in lower case."""
-    return LETTERS.findall(text.lower())
+    words = LETTERS.findall(text.lower())
+    if text.isascii() or all(map(str.isalpha, words)):
+        return words
+    # The pattern also has numerals such as superscripts, which are no letters.
+    return "".join(c if c.isalpha() else " " for w in words for c in (*w, " ")).split()
 
 
-def suffix_automaton(text: str) -> list[dict[str, int]]:
-    """Transitions of each state of the automaton of all substrings of ``text``; state 0 is the start."""
-    nexts, link, length = [{}], [-1], [0]
+def suffix_automaton(text: str) -> dict:
+    """The automaton of all substrings of ``text``: a state is a dictionary from characters to states; returns the start."""
+    start: dict = {}
+    nexts, link, length = [start], [-1], [0]
     last = 0
     for c in text:
         cur = len(nexts)
@@ -55,96 +59,48 @@ def suffix_automaton(text: str) -> list[dict[str, int]]:
                     p = link[p]
                 link[q] = link[cur] = copy
         last = cur
-    return nexts
+    for state in nexts:
+        for c, to in state.items():
+            state[c] = nexts[to]
+    return start
 
 
-class Identifier:
-    """The automata of all languages over one alphabet, which has every character of the samples.
+def phrases(start: dict, text: str) -> int:
+    """How many phrases ``text`` has: each is the longest match from where the one before ended, or one unknown character."""
+    count, state = 0, start
+    for c in text:
+        to = state.get(c)
+        if to is None:
+            if state is not start:
+                count += 1
+                to = start.get(c)
+            if to is None:
+                count += 1
+                to = start
+        state = to
+    return count + (state is not start)
 
-    A table is dense over the characters of its language's own sample while it is small; else its
-    transitions are sorted by state and character, so that memory follows the samples' lengths.
-    """
 
-    def __init__(self, samples: dict[str, str], most_kept: int = 300_000, dense: int = 8_000_000) -> None:
+class Identifier:
+    """The automata of all languages."""
+
+    def __init__(self, samples: dict[str, str]) -> None:
         self.langs = sorted(samples)
-        alphabet = sorted(set().union(*samples.values()))
-        self.symbol = {c: i + 1 for i, c in enumerate(alphabet)}  # 0: a character without transitions
-        self.tables = []
-        for lang in self.langs:
-            states = suffix_automaton(samples[lang])
-            own = {c: i + 1 for i, c in enumerate(sorted(set(samples[lang])))}
-            column = np.zeros(len(alphabet) + 1, np.int64)
-            for c, i in own.items():
-                column[self.symbol[c]] = i
-            width = len(own) + 1
-            items = sorted((s * width + own[c], to) for s, nexts in enumerate(states) for c, to in nexts.items())
-            at, to = np.array([k for k, _ in items], np.int64), np.array([t for _, t in items], np.int32)
-            if len(states) * width <= dense:
-                table = np.full(len(states) * width, -1, np.int32)
-                table[at] = to
-                at, to = None, table
-            self.tables.append((column, width, at, to))
-        self.kept: dict[str, int] = {}  # a word's row in self.rows
-        self.rows, self.chars, self.most_kept = np.zeros((0, len(self.langs)), np.int64), 0, most_kept
-
-    @staticmethod
-    def _next(table: tuple, state: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """The state after each state's character, -1 if there is none."""
-        _, width, at, to = table
-        key = state.astype(np.int64) * width + c
-        if at is None:
-            return to[key]
-        if not len(at):
-            return np.full(len(key), -1, np.int32)
-        place = np.minimum(np.searchsorted(at, key), len(at) - 1)
-        return np.where(at[place] == key, to[place], -1)
-
-    def phrases(self, words: list[str]) -> np.ndarray:
-        """Phrases of each word in each language, padded by spaces; shape (words, languages)."""
-        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
-        order = np.argsort(-sizes, kind="stable")
-        sizes = sizes[order]
-        get, out = self.symbol.get, np.zeros((len(words), len(self.langs)), np.int64)
-        flat = np.array([get(c, 0) for i in order for c in f" {words[i]} "], np.int32)
-        begin = np.cumsum(sizes) - sizes
-        for k, table in enumerate(self.tables):
-            own = table[0][flat]
-            state, count = np.zeros(len(words), np.int32), np.ones(len(words), np.int64)
-            for step in range(int(sizes[0]) if len(sizes) else 0):
-                live = int(np.searchsorted(-sizes, -step))  # words longer than step come first
-                c = own[begin[:live] + step]
-                to = self._next(table, state[:live], c)
-                ends = to < 0
-                count[:live] += ends & (state[:live] != 0)
-                again = self._next(table, np.zeros(live, np.int32), c)
-                count[:live] += ends & (again < 0) & (step + 1 < sizes[:live])  # an unknown character is a phrase of its own
-                state[:live] = np.where(ends, np.maximum(again, 0), to)
-            out[order, k] = count
-        return out
+        self.starts = [suffix_automaton(samples[lang]) for lang in self.langs]
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         """The language and a score from 0 to 1 (1 less the share of the best in the next best's phrases)."""
-        lists = [words_of(t) for t in texts]
-        wanted: set[str] = set()
-        for x in lists:
-            wanted.update(x)
-        new = wanted.difference(self.kept)
-        if len(self.kept) + len(new) > self.most_kept or self.chars > 40 * self.most_kept:
-            self.kept, self.rows, self.chars, new = {}, self.rows[:0], 0, wanted
-        fresh = sorted(new)
-        self.rows = np.concatenate([self.rows, self.phrases(fresh)])
-        self.kept.update(zip(fresh, range(len(self.kept), len(self.kept) + len(fresh))))
-        self.chars += sum(map(len, fresh))
         langs, scores = [], []
-        for text, words in zip(texts, lists):
+        for text in texts:
+            words = words_of(text)
             if not self.langs or not words:
                 langs.append(UNKNOWN)
                 scores.append(0.0)
                 continue
-            total = self.rows[np.fromiter(map(self.kept.__getitem__, words), np.int64, len(words))].sum(axis=0) / (sum(map(len, words)) + len(words))
-            best, *rest = np.argsort(total, kind="stable")
-            langs.append(self.langs[best])
-            scores.append(float(1 - total[best] / total[rest[0]]) if rest else 1.0)
+            running = f" {' '.join(words)} "
+            best, *rest = sorted((phrases(start, running), lang) for start, lang in zip(self.starts, self.langs))
+            langs.append(best[1])
+            scores.append(1 - best[0] / rest[0][0] if rest else 1.0)
         return langs, scores
 
 
@@ -154,8 +110,15 @@ def identifier(samples: tuple[tuple[str, str], ...]) -> Identifier:
     return Identifier(dict(samples))
 
 
-def sample_texts(labelled: DataFrame, lang_col: str, text_col: str, docs_per_lang: int, chars_per_lang: int) -> dict[str, str]:
-    """Up to ``docs_per_lang`` texts of each language, by the hash of the text, cut at ``chars_per_lang`` characters in all."""
+def sample_texts(labelled: DataFrame, lang_col: str, text_col: str, docs_per_lang: int, chars_per_lang: int, most_langs: int = 200) -> dict[str, str]:
+    """Up to ``docs_per_lang`` texts of each language, by the hash of the text, cut at ``chars_per_lang`` characters in all.
+
+    All languages together have ``SAMPLE_CHARS`` at most; more than ``most_langs`` languages are an error.
+    """
+    named = [r[0] for r in labelled.where(F.col(lang_col).isNotNull()).select(lang_col).distinct().limit(most_langs + 1).collect()]
+    if len(named) > most_langs:
+        raise ValueError(f"more than {most_langs} languages are labelled; raise most_langs or clean the labels")
+    chars_per_lang = min(chars_per_lang, SAMPLE_CHARS // max(1, len(named)))
     short = labelled.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(
         F.col(lang_col).alias("lang"), F.substring(text_col, 1, chars_per_lang).alias("t"), F.xxhash64(text_col).alias("h")
     )
@@ -176,16 +139,17 @@ def identify(
     lang_col: str = "lang",
     docs_per_lang: int = 48,
     chars_per_lang: int = 40_000,
+    most_langs: int = 200,
     keep: list[str] | None = None,
 ) -> DataFrame:
     """Add ``lang_pred`` and ``score`` to each row of ``docs``, learned from ``labelled`` alone.
 
     Null texts and texts without a letter are ``und`` with score 0, as is everything if nothing is
     labelled; ties go to the language that comes first by name. Repeated rows are treated alike,
-    whole texts are parsed, an empty table gives an empty one; columns of the input named like a
+    whole texts are parsed (a text and its lower-case copy are held at once), an empty table gives an empty one; columns of the input named like a
     new one are replaced. The sample (the two bounds) is all that reaches the driver.
     """
-    samples = sample_texts(labelled, lang_col, text_col, docs_per_lang, chars_per_lang)
+    samples = sample_texts(labelled, lang_col, text_col, docs_per_lang, chars_per_lang, most_langs)
     pairs = tuple(sorted(samples.items()))
 
     def run(texts: list[str]) -> list[pa.Array]:

@@ -85,6 +85,7 @@ class QualityModel:
         self.w1, self.b1 = rng.normal(0, d**-0.5, (d, hidden)), np.zeros(hidden)
         self.w2, self.b2, self.temperature = rng.normal(0, hidden**-0.5, hidden), 0.0, 1.0
         if not len(y):
+            self.w2 = np.zeros(hidden)
             return
         valid = np.arange(len(y)) % 5 == 4
         xt, yt = (x[~valid], y[~valid]) if valid.sum() >= 20 else (x, y)
@@ -120,7 +121,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     """Fit the model to ``sample`` labelled rows, taken by the hash of their ids.
 
     Texts of over ``longest`` characters are not among them; the two bounds limit what reaches the
-    driver. Only the rows of ``labels`` are used, and only their texts and labels.
+    driver. Only the rows of ``labels`` are used, and only their texts and labels. A document with two
+    labels counts once for each. Without any label all scores are 0.5; with one label they lean to it.
     """
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("_sq_id"), F.col(label_col).cast("int").alias("_sq_label")

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -190,14 +191,14 @@ def test_one_document_of_each_group_stays(docs, none):
 
 def test_suffix_automaton():
     text = "abcbcabba"
-    nexts = language_id.suffix_automaton(text)
+    start = language_id.suffix_automaton(text)
 
     def has(s):
-        state = 0
+        state = start
         for c in s:
-            if c not in nexts[state]:
+            if c not in state:
                 return False
-            state = nexts[state][c]
+            state = state[c]
         return True
 
     parts = {text[i:j] for i in range(len(text)) for j in range(i, len(text) + 1)}
@@ -205,18 +206,50 @@ def test_suffix_automaton():
     assert not any(has(a + b) for a in parts for b in "abc" if a + b not in parts)
 
 
+def plain_phrases(running, sample):
+    n = at = 0
+    while at < len(running):
+        size = 1
+        while at + size < len(running) and running[at : at + size + 1] in sample:
+            size += 1
+        n, at = n + 1, at + size
+    return n
+
+
 def test_phrases_are_greedy_longest_matches():
-    ident = language_id.Identifier({"x": " ab abc cab ", "y": " zz bca "})
-    for word in ("abc", "cabab", "qabq", "z", "bcabca"):
-        padded = f" {word} "
-        for k, text in enumerate((" ab abc cab ", " zz bca ")):
-            n = at = 0
-            while at < len(padded):
-                size = 1
-                while at + size < len(padded) and padded[at : at + size + 1] in text:
-                    size += 1
-                n, at = n + 1, at + size
-            assert ident.phrases([word])[0, k] == n, (word, text)
+    for sample in (" ab abc cab ", " zz bca ", ""):
+        start = language_id.suffix_automaton(sample)
+        for running in (" abc ", " cabab bca ab abc cab ab ", " qabq ", " z ", "", " bcabca zz bca zz "):
+            assert language_id.phrases(start, running) == plain_phrases(running, sample), (running, sample)
+
+
+def test_op4_query(spark, tmp_path):
+    rng = random.Random(9)
+    make = lambda parts, n: " ".join("".join(rng.choice(parts) for _ in range(3)) for _ in range(n))
+    parts = {"aa": ["ka", "ro", "ti", "mu"], "bb": ["sch", "lö", "en", "ge"], "cc": ["Ж", "я", "ми"]}
+    rows = [(i, make(parts[g], rng.randrange(1, 60)), g) for i in range(60) for g in [sorted(parts)[i % 3]]]
+    rows += [(60, None, "aa"), (61, "²½ⅷ 12 !", "bb"), (62, "", None), (63, "karo " * 200_000, "aa"), (64, make(parts["bb"], 5), None), (5, "karo tiMU", "aa")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    learned = spark.createDataFrame([r for r in rows if not held(r[0])], "doc_id long, text string, lang string")
+    samples = language_id.sample_texts(learned, "lang", "text", 48, 40_000)
+    out = language_id.op4_language_id(spark, str(tmp_path)).collect()
+    assert len(out) == len(rows) and all(r.held_out == held(r.doc_id) for r in out)
+    want = []
+    for i, text, _ in rows:
+        words = language_id.words_of(text or "")
+        running = f" {' '.join(words)} "[:20_000]
+        best = sorted((plain_phrases(running, samples[k]), k) for k in samples)
+        want.append((i, best[0][1] if words else "und", round(1 - best[0][0] / best[1][0], 6) if words else 0.0))
+    got = sorted((r.doc_id, r.lang_pred, round(r.score, 6)) for r in out)
+    assert [g for g in got if g[0] != 63] == sorted(w for w in want if w[0] != 63)
+    assert [g[1] for g in got if g[0] in (60, 61, 62, 63)] == ["und", "und", "und", "aa"]
+
+
+def test_too_many_languages_are_an_error(spark):
+    df = spark.createDataFrame([(i, f"text {i}", f"l{i}") for i in range(9)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError):
+        language_id.identify(df, df, most_langs=8)
 
 
 def test_languages(spark, docs, none):
@@ -233,15 +266,16 @@ def test_languages(spark, docs, none):
     assert {r.lang_pred for r in language_id.identify(df, none).collect()} == {"und"}
 
 
-@pytest.mark.parametrize("dense", [0, 8_000_000])
-def test_a_rare_script_beside_large_ones(dense):
+def test_a_rare_script_beside_large_ones():
     rng = random.Random(5)
     make = lambda low, letters, n: " ".join("".join(chr(low + min(rng.randrange(letters), rng.randrange(letters))) for _ in range(4)) for _ in range(n))
     scripts = {"aa": (0x4E00, 3000, 4000), "bb": (0x61, 26, 4000), "cc": (0x0430, 32, 4000), "rare": (0x10D0, 30, 120)}
-    ident = language_id.Identifier({k: make(*v) for k, v in scripts.items()}, dense=dense)
+    samples = {k: make(*v) for k, v in scripts.items()} | {"rarer": make(0x3041, 1500, 400)}
+    ident = language_id.Identifier(samples)
     for lang, (low, letters, _) in scripts.items():
         assert ident.predict([make(low, letters, 40)])[0] == [lang]
-    assert all(c in ident.symbol for c in map(chr, range(0x10D0, 0x10D0 + 20)))
+    for lang, sample in samples.items():  # a cut from a language's own sample
+        assert ident.predict([sample[100:160]])[0] == [lang]
 
 
 # -- 5 and 10 tokens
