@@ -1,10 +1,14 @@
 """Near-duplicate embeddings: all pairs by int8 tile products with rigorous error bounds.
 
 Equal vectors are one row with a multiplicity. The rest is dealt out in blocks by a hash, and each
-pair of blocks is a tile, a task of bounded size. A tile multiplies the quantised vectors; for each
+pair of blocks is a tile, a task of bounded size. A tile quantises its two blocks once and multiplies them slice by slice; for each
 pair the two vectors' quantisation errors bound how far the true cosine can be. Pairs surely above
 or below the threshold are settled; the others are computed again in double precision. A tile
 returns a row per linked vector (how many links, and a forest of them), never its pairs.
+
+A block travels once for each other block, so what is shuffled grows with the square of the number of vectors divided by
+the size of a block. The doubles travel with it, because the pairs to recheck are known only in the tile and can be as many as
+all pairs of a group of near copies, too many to send.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from pyspark.sql import functions as F
 from .common import components, materialize, ship
 
 SLACK = 1e-9  # more than the rounding of double sums of unit vectors
+ROWS, COLUMNS = 512, 4096  # a slice of a tile
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -26,47 +31,78 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return q.astype(np.int8), scale, np.linalg.norm(x - q * scale[:, None], axis=1)
 
 
-def linked(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
-    """Which pairs of rows of x and y (unit vectors, double) have a cosine of ``threshold`` or more."""
-    (qx, sx, ex), (qy, sy, ey) = quantise(x), quantise(y)
+def linked(x: np.ndarray, y: np.ndarray, threshold: float, of_x: tuple | None = None, of_y: tuple | None = None) -> np.ndarray:
+    """Which pairs of rows of x and y (unit vectors, double) have a cosine of ``threshold`` or more.
+
+    ``of_x`` and ``of_y`` are what ``quantise`` gives for them, where that is known.
+    """
+    (qx, sx, ex), (qy, sy, ey) = of_x or quantise(x), of_y or quantise(y)
     # Sums of int8 products are exact in float32 up to 2^24, so slices of 1,000 components are.
     near = np.zeros((len(x), len(y)))
     for lo in range(0, x.shape[1], 1000):
         near += qx[:, lo : lo + 1000].astype(np.float32) @ qy[:, lo : lo + 1000].astype(np.float32).T
     near *= sx[:, None]
     near *= sy[None, :]
-    # |x.y - near| <= |ex| |y| + |x - ex| |ey|
-    bound = ex[:, None] + (1 + ex)[:, None] * ey[None, :] + SLACK
-    yes = near - bound >= threshold
-    i, j = np.nonzero((near + bound >= threshold) & ~yes)
-    for at in range(0, len(i), 65_536):
-        a, b = i[at : at + 65_536], j[at : at + 65_536]
+    # |x.y - near| <= |ex| |y| + |x - ex| |ey|, which is most for the largest |ey|; few pairs pass that test.
+    i, j = np.nonzero(near >= (threshold - ex - (1 + ex) * ey.max(initial=0.0) - SLACK)[:, None])
+    bound = ex[i] + (1 + ex[i]) * ey[j] + SLACK
+    value = near[i, j]
+    sure = value - bound >= threshold
+    yes = np.zeros(near.shape, bool)
+    yes[i[sure], j[sure]] = True
+    rest = np.flatnonzero((value + bound >= threshold) & ~sure)
+    for at in range(0, len(rest), 65_536):
+        a, b = i[rest[at : at + 65_536]], j[rest[at : at + 65_536]]
         yes[a, b] = np.einsum("ij,ij->i", x[a], y[b]) >= threshold
     return yes
 
 
-def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
-    label = np.arange(n)
-    while len(i):
-        low = np.minimum(label[i], label[j])
-        before = label.copy()
-        np.minimum.at(label, i, low)
-        np.minimum.at(label, j, low)
-        label = label[label]
-        if (before == label).all():
-            break
-    return label
+def _join(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Join the trees of i and j in place; ``label`` holds the root of each node, the least of its tree."""
+    while True:
+        a, b = label[i], label[j]
+        apart = a != b
+        if not apart.any():
+            return
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label[:] = label[label]
+
+
+def tile_links(xs: list[np.ndarray], ms: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each vector and its root, within one block or between two.
+
+    ``ms`` says how many rows a vector stands for. Slices of 512 by 4,096 pairs bound the memory.
+    """
+    of = [quantise(x) for x in xs]
+    x, y, m = xs[0], xs[-1], np.concatenate(ms)
+    offset = len(m) - len(y)
+    links, label = np.zeros(len(m), np.int64), np.arange(len(m))
+    for r in range(0, len(x), ROWS):
+        rows = slice(r, r + ROWS)
+        for c in range(0 if offset else r, len(y), COLUMNS):
+            columns = slice(c, c + COLUMNS)
+            i, j = np.nonzero(linked(x[rows], y[columns], threshold, tuple(v[rows] for v in of[0]), tuple(v[columns] for v in of[-1])))
+            i, j = i + r, j + c + offset
+            if not offset:  # each pair of a block once, no vector with itself
+                i, j = i[i < j], j[i < j]
+            if len(i):
+                links += (np.bincount(i, m[j], len(m)) + np.bincount(j, m[i], len(m))).astype(np.int64)
+                _join(label, i, j)
+    return links, label
 
 
 def embedding_components(
-    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, block_bytes: int = 1 << 20
+    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, block_bytes: int = 1 << 24
 ) -> DataFrame:
     """One row per row of ``vectors``: id, ``n_links``, ``component_id`` and ``kept``.
 
     Vectors that are null, empty, zero or hold a null or non-finite component link with nothing,
     and vectors of different lengths do not link. ``component_id`` is the least id reachable,
     ``kept`` is true for it. Repeated rows are vectors of their own; an empty table gives an empty one; other columns
-    are left out.
+    are left out. Blocks hold ``block_bytes`` of vectors; where that gives few blocks there are eight, of 256 vectors or more, so
+    that small tables are shared out too.
     """
     ship(vectors.sparkSession)
     v = F.col(vector_col)
@@ -80,7 +116,8 @@ def embedding_components(
         .withColumns({"key": F.monotonically_increasing_id(), "dim": F.size("v")})
     )
     per_block = F.greatest(F.lit(64), F.floor(F.lit(block_bytes) / (8 * F.col("dim")))).cast("long")
-    dims = reps.groupBy("dim").agg(F.count("*").alias("n")).select("dim", F.ceil(F.col("n") / per_block).cast("long").alias("blocks"))
+    n_blocks = F.greatest(F.ceil(F.col("n") / per_block), F.least(F.lit(8), F.ceil(F.col("n") / 256)))
+    dims = reps.groupBy("dim").agg(F.count("*").alias("n")).select("dim", n_blocks.cast("long").alias("blocks"))
     placed = reps.join(dims, "dim").withColumn("block", F.pmod(F.xxhash64("key"), "blocks"))
 
     def pack(g: pd.DataFrame) -> pd.DataFrame:
@@ -105,17 +142,8 @@ def embedding_components(
         keys = [np.frombuffer(k, np.int64) for k in g["keys"]]
         ms = [np.frombuffer(m, np.int64) for m in g["ms"]]
         xs = [np.frombuffer(x, np.float64).reshape(-1, dim) for x in g["xs"]]
-        yes = linked(xs[0], xs[-1], threshold)
-        if len(xs) == 1:
-            np.fill_diagonal(yes, False)
-            key, links = keys[0], yes @ ms[0]
-            i, j = np.nonzero(np.triu(yes))
-        else:
-            key, links = np.concatenate(keys), np.concatenate([yes @ ms[1], ms[0] @ yes])
-            i, j = np.nonzero(yes)
-            j = j + len(keys[0])
-        some = np.flatnonzero(links)
-        label = _forest(i, j, len(key))
+        links, label = tile_links(xs, ms, threshold)
+        key, some = np.concatenate(keys), np.flatnonzero(links)
         return pd.DataFrame({"key": key[some], "n": links[some], "to": key[label[some]]})
 
     found = materialize(tiles.groupBy("dim", "i", "j").applyInPandas(tile, "key long, n long, to long"))

@@ -386,6 +386,24 @@ def test_bounds_hold_at_the_threshold():
     assert (embedding_dedup.linked(x, y, 0.95) == (np.einsum("id,jd->ij", x, y) >= 0.95)).all()
 
 
+def test_tiles_in_slices(monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "ROWS", 7)
+    monkeypatch.setattr(embedding_dedup, "COLUMNS", 16)
+    rng = np.random.default_rng(2)
+    v = np.repeat(rng.normal(size=(9, 12)), 10, axis=0) + 0.12 * rng.normal(size=(90, 12))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    m = rng.integers(1, 4, 90)
+    yes = v @ v.T >= 0.95
+    for parts in ([slice(0, 90)], [slice(0, 33), slice(33, 90)]):
+        want = yes.copy()
+        np.fill_diagonal(want, False)
+        if len(parts) > 1:  # a tile of two blocks has the links between them only
+            want[:33, :33] = want[33:, 33:] = False
+        links, label = embedding_dedup.tile_links([v[p] for p in parts], [m[p] for p in parts], 0.95)
+        assert (links == want @ m).all() and 0 < want.sum() < want.size
+        assert label.tolist() == brute.union(90, list(zip(*np.nonzero(want))))
+
+
 # -- 8 personal data
 
 PII_ALPHABET = "a.@-+ 0123456789()%_é"
