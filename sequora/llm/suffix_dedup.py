@@ -7,18 +7,21 @@ have are found from their hashes alone; only their pieces travel, each once a ch
 a key meet in one bucket, where the suffixes of each piece are sorted to a depth of 50: multikey quicksort by 8-byte characters to a
 shallow depth, then a blind trie for each group that still has a long common prefix and isn't one
 string. Each class of equal strings takes its least document, and the chunks get back which strings of each piece to remove.
+
+A key that very many pieces have, such as a line that stands in ever-new contexts, doesn't gather them in one bucket: its pieces
+are split into their single strings, which go to the buckets of their own hashes. Equal strings still meet, and no bucket gets the whole key.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +29,8 @@ from .common import materialize, ship, texts_of
 from .xxh import xxh64
 
 WIDTH, GRAM, KEY, SHALLOW = 50, 16, 32, 32
+FEW = 64  # pieces of a key in a chunk that count as one
+MASKS, STRINGS, HOT = range(3)  # what a chunk gets back: places in pieces, single strings, the keys whose pieces are split
 LAST = np.iinfo(np.int64).max  # stands for a null id: after all others
 
 
@@ -83,22 +88,24 @@ def _pack(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int) -> Data
     """Chunks of whole texts: ``cid``, ``n``, ids, lengths and bytes, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cid = TaskContext.get().partitionId() << 32
         for batch in batches:
             ids = np.array([LAST if x is None else x for x in batch.column(0).to_pylist()], np.int64)
             for start, texts in texts_of(batch.column(1), chunk_bytes):
                 blobs = [t.encode() for t in texts]
                 sizes = np.fromiter(map(len, blobs), np.int64, len(blobs))
                 own = ids[start : start + len(texts)]
+                cid += 1
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([uuid.uuid4().hex]), pa.array([int(sizes.sum())], pa.int64()), pa.array([own.tobytes()], pa.binary()),
+                        pa.array([cid], pa.int64()), pa.array([int(sizes.sum())], pa.int64()), pa.array([own.tobytes()], pa.binary()),
                         pa.array([sizes.tobytes()], pa.binary()), pa.array([zstandard.ZstdCompressor(level=3).compress(b"".join(blobs))], pa.binary()),
                     ],
                     names=["cid", "n", "ids", "sizes", "blob"],
                 )
 
     source = docs.select(F.col(id_col).cast("long"), F.col(text_col))
-    return source.mapInArrow(run, "cid string, n long, ids binary, sizes binary, blob binary")
+    return source.mapInArrow(run, "cid long, n long, ids binary, sizes binary, blob binary")
 
 
 def _unpack(ids: bytes, sizes: bytes, blob: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
@@ -122,63 +129,90 @@ def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(bucket[rows[0]]), rows
 
 
+def _short(h: np.ndarray) -> np.ndarray:
+    """The 47 bits of a key that stand for it."""
+    return h >> np.uint64(17)
+
+
 def _hashes_of(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Each distinct key of a chunk in 6 bytes, its lowest bit set if two texts of the chunk have it."""
+    """Each distinct key of a chunk in 6 bytes, its lowest bit set if two texts of the chunk have it.
+
+    A key with 64 pieces or more is sent once more for each 64, so that the number of rows tells how many pieces it has.
+    """
     for batch in batches:
         for cid, _, *packed in zip(*(batch.column(i).to_pylist() for i in range(5))):
             ids, sizes, data = _unpack(*packed)
             h, _, _, _, text = anchors(data, sizes)
             order, begin = _grouped(h)
             low, high = (f.reduceat(ids[text[order]], begin) if len(begin) else ids[:0] for f in (np.minimum, np.maximum))
-            h = h[order][begin]
-            value = h >> np.uint64(17) << np.uint64(1) | (low < high).astype(np.uint64)
-            rows = [(b, cid, value[r].view(np.uint8).reshape(-1, 8)[:, :6].tobytes()) for b, r in _by_bucket((h % np.uint64(buckets)).astype(np.int64))]
+            short, times = _short(h[order][begin]), 1 + np.diff(np.r_[begin, len(order)]) // FEW
+            value = np.repeat(short << np.uint64(1) | (low < high).astype(np.uint64), times)
+            bucket = np.repeat((short % np.uint64(buckets)).astype(np.int64), times)
+            rows = [(b, cid, _in_six(value[r])) for b, r in _by_bucket(bucket)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.binary())],
+                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())],
                 names=["bucket", "cid", "hashes"],
             )
 
 
+def _in_six(value: np.ndarray) -> bytes:
+    return value.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
 def _six(data: bytes) -> np.ndarray:
     out = np.zeros((len(data) // 6, 8), np.uint8)
     out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
     return out.reshape(-1).view(np.uint64)
 
 
-def _shared(g: pd.DataFrame) -> pd.DataFrame:
-    """For each chunk the hashes of a bucket that two documents have."""
+def _shared(g: pd.DataFrame, split: int) -> pd.DataFrame:
+    """For each chunk the hashes of a bucket that two documents have, and which of them have more than ``split`` rows."""
     parts = [_six(x) for x in g["hashes"]]
     value = np.concatenate(parts)
     order, begin = _grouped(value >> np.uint64(1))
-    many = np.diff(np.r_[begin, len(order)]) > 1
+    counts = np.diff(np.r_[begin, len(order)])
+    many = counts > 1
     many |= np.add.reduceat((value[order] & np.uint64(1)).astype(np.int64), begin) > 0
-    yes = np.zeros(len(value), bool)
-    yes[order] = np.repeat(many, np.diff(np.r_[begin, len(order)]))
-    out = []
-    for cid, part, keep in zip(g["cid"], parts, np.split(yes, np.cumsum([*map(len, parts)])[:-1])):
+    yes, hot = np.zeros(len(value), bool), np.zeros(len(value), bool)
+    yes[order], hot[order] = np.repeat(many, counts), np.repeat(many & (counts > split), counts)
+    out, cuts = [], np.cumsum([*map(len, parts)])[:-1]
+    for cid, part, keep, top in zip(g["cid"], parts, np.split(yes, cuts), np.split(hot, cuts)):
         if keep.any():
-            out.append((cid, (part[keep] >> np.uint64(1)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()))
-    return pd.DataFrame(out, columns=["cid", "hashes"])
+            out.append((cid, *(_in_six(np.unique(part[x] >> np.uint64(1))) for x in (keep, top))))
+    return pd.DataFrame(out, columns=["cid", "hashes", "hot"])
+
+
+def _strings(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The piece of each single string of some pieces, and where it starts."""
+    count = last - first + 1
+    piece = np.repeat(np.arange(len(count)), count)
+    return piece, first[piece] + np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count)
 
 
 def _pieces_of(chunk: pd.DataFrame, shared: pd.DataFrame, buckets: int) -> pd.DataFrame:
-    """The distinct pieces of a chunk whose keys are shared, by bucket."""
+    """The distinct pieces of a chunk whose keys are shared, by bucket; single strings instead where the key is hot."""
     out = []
     if len(chunk) and len(shared):
         ids, sizes, data = _unpack(*chunk.iloc[0][["ids", "sizes", "blob"]])
-        h, at, first, last, text = anchors(data, sizes)
-        some = np.isin(h >> np.uint64(17), _six(b"".join(shared["hashes"])))
-        h, at, first, last, text = (x[some] for x in (h, at, first, last, text))
-        ph = xxh64(data, first, last - first + WIDTH)
-        order, begin = _grouped(h, ph)
-        low = np.minimum.reduceat(ids[text[order]], begin) if len(begin) else ids[:0]
-        pick = order[begin]
-        for b, r in _by_bucket((h[pick] % np.uint64(buckets)).astype(np.int64)):
-            p = pick[r]
-            rel, count = (at[p] - first[p]).astype(np.uint8), (last[p] - first[p] + 1).astype(np.uint8)
-            body = np.frombuffer(b"".join([data[i : j + WIDTH] for i, j in zip(first[p].tolist(), last[p].tolist())]), np.uint8)
-            out.append((b, chunk["cid"].iloc[0], len(p), _zip(low[r], rel, count, body)))  # keys follow from the bytes
-    return pd.DataFrame(out, columns=["bucket", "cid", "n", "pieces"])
+        pieces = anchors(data, sizes)
+        short = _short(pieces[0])
+        hot = np.isin(short, _six(b"".join(shared["hot"])))
+        some = np.isin(short, _six(b"".join(shared["hashes"]))) & ~hot
+        for split, chosen in ((False, some), (True, hot)):
+            h, at, first, last, text = (x[chosen] for x in pieces)
+            if split:
+                piece, first = _strings(first, last)
+                h, at, last, text = h[piece], at[piece], first, text[piece]
+            ph = xxh64(data, first, last - first + WIDTH)
+            order, begin = _grouped(h, ph)
+            low = np.minimum.reduceat(ids[text[order]], begin) if len(begin) else ids[:0]
+            pick = order[begin]
+            for b, r in _by_bucket(((ph[pick] if split else _short(h[pick])) % np.uint64(buckets)).astype(np.int64)):
+                p = pick[r]
+                rel, count = (at[p] - first[p]).astype(np.uint8), (last[p] - first[p] + 1).astype(np.uint8)
+                body = np.frombuffer(b"".join([data[i : j + WIDTH] for i, j in zip(first[p].tolist(), last[p].tolist())]), np.uint8)
+                out.append((b, chunk["cid"].iloc[0], split, len(p), _zip(low[r], rel, count, body)))  # keys follow from the bytes
+    return pd.DataFrame(out, columns=["bucket", "cid", "split", "n", "pieces"])
 
 
 class BlindTrie:
@@ -288,42 +322,56 @@ def _removals(g: pd.DataFrame) -> pd.DataFrame:
     gone = least[np.repeat(strings[piece], rows) + step] < np.repeat(own, rows)
     mask = np.add.reduceat(gone.astype(np.uint64) << step.astype(np.uint64), np.cumsum(rows) - rows)
     out, at = [], 0
-    for cid, n in zip(g["cid"], g["n"]):
+    for cid, split, n in zip(g["cid"], g["split"], g["n"]):
         some = np.flatnonzero(mask[at : at + n]) + at
         if len(some):
-            out.append((cid, len(some), _zip(ph[some], mask[some])))
+            out.append((cid, STRINGS if split else MASKS, _zip(ph[some], mask[some])))
         at += n
-    return pd.DataFrame(out, columns=["cid", "m", "masks"])
+    return pd.DataFrame(out, columns=["cid", "kind", "found"])
 
 
-def _cleaned(chunk: pd.DataFrame, masks: pd.DataFrame, with_bytes: bool) -> pd.DataFrame:
-    """The rows of a chunk's documents."""
-    columns = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_bytes]
-    if not len(chunk):
-        return pd.DataFrame(columns=columns)
-    ids, sizes, data = _unpack(*chunk.iloc[0][["ids", "sizes", "blob"]])
-    h, _, first, last, text = anchors(data, sizes)
-    ph = xxh64(data, first, last - first + WIDTH) if len(h) else h
+def _known(found: pd.DataFrame, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes in order, each with its mask."""
+    raw = [np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint64).reshape(2, -1) for x in found["found"][found["kind"] == kind]]
+    known, value = np.concatenate([np.zeros((2, 0), np.uint64), *raw], axis=1)
+    order = np.argsort(known)
+    return known[order], value[order]
+
+
+def _gone(h: np.ndarray, ph: np.ndarray, owner: np.ndarray, known: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The mask of each piece: what came back for it, and all of it where an earlier document of the chunk has the same piece."""
     mask = np.zeros(len(h), np.uint64)
-    if len(masks):
-        raw = [np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint64).reshape(2, -1) for x in masks["masks"]]
-        known, value = np.concatenate(raw, axis=1)
-        order = np.argsort(known)
-        known, value = known[order], value[order]
+    if len(known):
         at = np.minimum(np.searchsorted(known, ph), len(known) - 1)
         mask = np.where(known[at] == ph, value[at], mask)
     if len(h):
         order, begin = _grouped(h, ph)
         runs = np.diff(np.r_[begin, len(order)])
-        owner = ids[text]
         later = np.zeros(len(h), bool)
         later[order] = owner[order] > np.repeat(np.minimum.reduceat(owner[order], begin), runs)
         mask = np.where(later, np.uint64(2**64 - 1), mask)
-    count = last - first + 1
-    step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    gone = np.repeat(mask, count) >> step.astype(np.uint64) & np.uint64(1) > 0
+    return mask
+
+
+def _cleaned(chunk: pd.DataFrame, found: pd.DataFrame, with_bytes: bool) -> pd.DataFrame:
+    """The rows of a chunk's documents."""
+    columns = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_bytes]
+    if not len(chunk):
+        return pd.DataFrame(columns=columns)
+    ids, sizes, data = _unpack(*chunk.iloc[0][["ids", "sizes", "blob"]])
+    h, _, first, last, text = anchors(data, sizes)
+    hot = np.isin(_short(h), _six(b"".join(found["found"][found["kind"] == HOT])))
     string = np.zeros(len(data) + 1, np.int64)
-    string[(np.repeat(first, count) + step)[gone]] = 1
+    for split, chosen in ((False, ~hot), (True, hot)):
+        key, f, t, owner = h[chosen], first[chosen], last[chosen], ids[text[chosen]]
+        if not len(key):
+            continue
+        if split:
+            piece, f = _strings(f, t)
+            key, t, owner = key[piece], f, owner[piece]
+        mask = _gone(key, xxh64(data, f, t - f + WIDTH), owner, *_known(found, STRINGS if split else MASKS))
+        piece, place = _strings(f, t)
+        string[place[(mask[piece] >> (place - f[piece]).astype(np.uint64) & np.uint64(1)) > 0]] = 1
     total = np.cumsum(string)
     covered = total.copy()
     covered[WIDTH:] -= total[:-WIDTH]
@@ -344,27 +392,34 @@ def _cleaned(chunk: pd.DataFrame, masks: pd.DataFrame, with_bytes: bool) -> pd.D
     return pd.DataFrame(out, columns=columns).astype({"id": "Int64"})
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = False, chunk_bytes: int = 1_000_000) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = False, chunk_bytes: int = 1_000_000,
+    bucket_bytes: int = 8_000_000, split: int = 2000,
+) -> DataFrame:
     """One row per row of ``docs``: id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` (and ``kept``, the bytes).
 
     A byte goes if a string of 50 bytes over it also begins in a document with a smaller id.
     Null text counts as empty; texts under 50 bytes lose nothing; rows with one id never remove
     from each other; a null id counts as larger than all others. An empty table gives an empty
     one; other columns are left out.
+
+    Texts are worked on in chunks of ``chunk_bytes`` (or one text), and there is a bucket for each ``bucket_bytes`` of text. Pieces of a
+    key that more than ``split`` chunks have (64 pieces of one chunk count as another chunk) are compared string by string.
     """
     ship(docs.sparkSession)
     chunks = materialize(_pack(docs, id_col, text_col, chunk_bytes))
     total = chunks.agg(F.sum("n")).first()[0] or 0
-    buckets = max(64, total // 8_000_000)
-    hashes = chunks.mapInArrow(lambda it: _hashes_of(it, buckets), "bucket long, cid string, hashes binary")
-    shared = materialize(hashes.groupBy("bucket").applyInPandas(_shared, "cid string, hashes binary"))
+    buckets = max(64, total // bucket_bytes)
+    hashes = chunks.mapInArrow(lambda it: _hashes_of(it, buckets), "bucket long, cid long, hashes binary")
+    shared = materialize(hashes.groupBy("bucket").applyInPandas(lambda g: _shared(g, split), "cid long, hashes binary, hot binary"))
     pieces = (
         chunks.groupBy("cid").cogroup(shared.groupBy("cid"))
-        .applyInPandas(lambda a, b: _pieces_of(a, b, buckets), "bucket long, cid string, n long, pieces binary")
+        .applyInPandas(lambda a, b: _pieces_of(a, b, buckets), "bucket long, cid long, split boolean, n long, pieces binary")
     )
-    masks = materialize(pieces.groupBy("bucket").applyInPandas(_removals, "cid string, m long, masks binary"))
+    masks = materialize(pieces.groupBy("bucket").applyInPandas(_removals, "cid long, kind int, found binary"))
+    found = masks.union(shared.where("length(hot) > 0").select("cid", F.lit(HOT).alias("kind"), "hot"))
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes
-    out = chunks.groupBy("cid").cogroup(masks.groupBy("cid")).applyInPandas(lambda a, b: _cleaned(a, b, with_bytes), schema)
+    out = chunks.groupBy("cid").cogroup(found.groupBy("cid")).applyInPandas(lambda a, b: _cleaned(a, b, with_bytes), schema)
     return out.withColumnRenamed("id", id_col)
 
 

@@ -340,16 +340,31 @@ def test_removed_bytes(docs, none):
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_removed_bytes_of_patched_texts(spark, seed):
+@pytest.mark.parametrize("seed,how", [(0, {}), (1, {}), (2, {"bucket_bytes": 1}), (3, {"split": 0}), (4, {"split": 3}), (5, {"split": 1, "bucket_bytes": 1})])
+def test_removed_bytes_of_patched_texts(spark, seed, how):
     rng = random.Random(seed)
     pool = ["".join(rng.choice("ab é") for _ in range(rng.choice([30, 49, 50, 51, 90, 200]))) for _ in range(12)] + ["a" * 130, "ab" * 70]
     rows = [(rng.randrange(40), "".join(rng.choice(pool) + rng.choice(["", "", "#", "q"]) for _ in range(rng.randrange(6)))) for _ in range(50)]
-    out = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), chunk_bytes=700, with_bytes=True)
+    out = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), chunk_bytes=700, with_bytes=True, **how)
     got = rows_of(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert got == sorted(brute.removed(rows), key=repr)
 
 
+def test_removed_bytes_of_a_key_in_ever_new_contexts(spark):
+    rng = random.Random(9)
+    line = "-" * 20 + "permission is granted free of charge"
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    rows = [(i, noise(rng.choice([5, 40])) + line + noise(rng.choice([0, 3, 40]))) for i in range(60)]
+    rows += [(100 + i, rows[i][1][: 70 + i]) for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for split in (2, 2000):
+        got = rows_of(suffix_dedup.remove_repeats(df, chunk_bytes=400, split=split), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+        assert got == sorted(brute.removed(rows), key=repr)
+    data = " ".join(t for _, t in rows).encode()
+    key = suffix_dedup.anchors(data, np.array([len(data)]))[0]
+    assert np.unique(key, return_counts=True)[1].max() > 20  # one key in pieces of many texts
+
+
 def test_blind_trie_and_multikey_sort():
     rng = random.Random(2)
     strings = ["".join(rng.choice("ab") for _ in range(18)).encode() for _ in range(40)]
