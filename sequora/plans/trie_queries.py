@@ -230,15 +230,19 @@ def _(spark, sf):
     return T.role_distribution(T.roles(nodes(spark, sf), V))
 
 
-COMPACT = f"""WITH {NODES} SELECT path, depth, total, substr({ROLE}, 1, 1) AS role_code FROM kept WHERE depth <= 4"""
+COMPACT = f"""WITH {NODES}, q AS (SELECT parent, token, row_number() OVER (PARTITION BY parent ORDER BY total DESC, token) AS k FROM kept WHERE depth > 0),
+t AS (SELECT parent, string_agg(token, ',' ORDER BY k) AS transitions FROM q WHERE k <= 5 GROUP BY parent)
+SELECT path, depth, total, substr({ROLE}, 1, 1) AS role_code, coalesce(transitions, '') AS transitions, CASE WHEN terminal > 0 THEN path ELSE '' END AS words FROM kept LEFT JOIN t ON t.parent = kept.path WHERE depth <= 4"""
 
 
 @query("snk7_compact_nodes", COMPACT)
 def _(spark, sf):
-    rows = T.roles(nodes(spark, sf), V)
-    probs = T.transition_probs(nodes(spark, sf)).groupBy(F.col("source").alias("path")).agg(F.map_from_entries(F.collect_list(F.struct("token", "p"))).alias("transition_probs"))
-    rows = rows.join(probs, "path", "left").withColumn("words", F.array().cast("array<string>"))
-    return flat(writers.compact_nodes(rows, 4), "depth", "total", "role_code")
+    kept = nodes(spark, sf)
+    probs = T.transition_probs(kept).groupBy(F.col("source").alias("path")).agg(F.map_from_entries(F.collect_list(F.struct("token", "p"))).alias("transition_probs"))
+    words = T.sample_words(fx.lexicon(spark, sf).withColumn("grp", F.lit("all"))).drop("grp")
+    rows = writers.compact_nodes(T.roles(kept, V).join(probs, "path", "left").join(words, "path", "left"), 4)
+    listed = lambda tokens, name: F.coalesce(F.array_join(tokens, ","), F.lit("")).alias(name)
+    return flat(rows, "depth", "total", "role_code", listed(F.col("transitions")["token"], "transitions"), listed(F.col("words"), "words"))
 
 
 @query("snk8_nested_stats", f"{OWN} SELECT grp, count(*)::INTEGER AS depths, sum(nodes)::BIGINT AS nodes FROM gs GROUP BY grp")
