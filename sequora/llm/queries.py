@@ -10,6 +10,7 @@ from .quality_model import op9_quality_classifier
 from .quality_rules import OP2_SQL, op2_quality_rules
 from .simhash_dedup import op3_simhash_dedup
 from .source_mixing import OP1_SQL, op1_source_mixing
+from .substring_dedup import OP13_SQL, op13_substring_dedup
 from .suffix_dedup import op6_suffix_dedup
 from .token_counts import op5_token_counts
 
@@ -24,5 +25,11 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_byte_bpe": op10_byte_bpe,
+    "op13_substring_dedup": op13_substring_dedup,
+}
+ORACLE_SQL = {
+    "op1_source_mixing": OP1_SQL,
+    "op2_quality_rules": OP2_SQL,
+    "op7_embedding_dedup": OP7_SQL,
+    "op13_substring_dedup": OP13_SQL,
 }
-ORACLE_SQL = {"op1_source_mixing": OP1_SQL, "op2_quality_rules": OP2_SQL, "op7_embedding_dedup": OP7_SQL}

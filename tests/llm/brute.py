@@ -115,3 +115,24 @@ def base_spans(text):
     out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 14 <= len(digits(m)) <= 19 and luhn(digits(m))]
     out += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 10 <= len(digits(m)) <= 15]
     return [(a, b, k) for a, k, b in sorted(out)]
+
+
+def repeated_windows(rows, width=20):
+    """(id, words, removed words, digest, kept text, removed runs) of each row."""
+    key = lambda i, p: (i is None, i or 0, p)
+    texts = [(i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in rows]
+    first = {}
+    for i, w in texts:
+        for p in range(len(w) - width + 1):
+            s = tuple(w[p : p + width])
+            first[s] = min(first.get(s, key(i, p)), key(i, p))
+    out = []
+    for i, w in texts:
+        gone = [False] * len(w)
+        for p in range(len(w) - width + 1):
+            if first[tuple(w[p : p + width])] < key(i, p):
+                gone[p : p + width] = [True] * width
+        kept = " ".join(x for x, g in zip(w, gone) if not g)
+        spans = [(p, next((q for q in range(p, len(w)) if not gone[q]), len(w)) - p) for p, g in enumerate(gone) if g and (p == 0 or not gone[p - 1])]
+        out.append((i, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest(), kept, spans))
+    return out
