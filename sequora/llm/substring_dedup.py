@@ -283,7 +283,7 @@ def _cleaned(chunk: pd.DataFrame, answers: pd.DataFrame, width: int, bits: int,
         gone = c.removed(answers[answers["kind"] == LATER])
     total = np.r_[0, np.cumsum(gone)]
     out = []
-    for i, none, lo, n in zip(c.ids.tolist(), c.none.tolist(), c.first_word.tolist(), c.counts.tolist()):
+    for lo, n in zip(c.first_word.tolist(), c.counts.tolist()):
         removed = int(total[lo + n] - total[lo])
         spans = _intervals(gone[lo : lo + n]) if removed else []
         if removed:
@@ -291,9 +291,11 @@ def _cleaned(chunk: pd.DataFrame, answers: pd.DataFrame, width: int, bits: int,
             kept = b" ".join([c.data[c.begin[lo + a] : c.end[lo + b - 1]] for a, b in zip(edges[::2], edges[1::2]) if a < b])
         else:
             kept = c.data[c.begin[lo] : c.end[lo + n - 1]] if n else b""
-        row = (None if none else i, n, removed, hashlib.sha256(kept).hexdigest())
+        row = (n, removed, hashlib.sha256(kept).hexdigest())
         out.append(row + (kept.decode(), [{"first": a, "n": b} for a, b in spans]) if details else row)
-    return pd.DataFrame(out, columns=columns).astype({"id": "Int64"})
+    frame = pd.DataFrame(out, columns=columns[1:])
+    frame.insert(0, "id", pd.arrays.IntegerArray(c.ids.copy(), c.none.copy()))
+    return frame
 
 
 def _intervals(gone: np.ndarray) -> list[tuple[int, int]]:
