@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import parts
+
 KEY = ["experiment", "size"]
 
 
@@ -23,17 +25,6 @@ def size_report(outcomes: DataFrame, approximate: bool = False) -> DataFrame:
     ).withColumn("ratio", F.round(F.col("distinct_outcomes") / F.col("total"), 6))
 
 
-def substructures(rows: DataFrame, text_col: str = "outcome", min_len: int = 1, max_len: int = 4) -> DataFrame:
-    """Explode every contiguous part of a text, ``min_len`` to ``max_len`` long, as ``sub`` (with repeats).
-
-    ``max_len`` bounds the rows to that many for each character.
-    """
-    text = F.col(text_col)
-    starts = rows.where(F.length(text) >= min_len).withColumn("_i", F.explode(F.sequence(F.lit(1), F.length(text) - min_len + 1)))
-    parts = starts.withColumn("_n", F.explode(F.sequence(F.lit(min_len), F.least(F.lit(max_len), F.length(text) - F.col("_i") + 1))))
-    return parts.withColumn("sub", F.substring(text, F.col("_i"), F.col("_n"))).drop("_i", "_n")
-
-
 def _normal(outcomes: DataFrame) -> DataFrame:
     """Normal outcomes with their multiplicity: what is exploded is distinct."""
     return outcomes.where("status = 'normal'").groupBy(*KEY, "outcome").agg(F.count("*").alias("times"))
@@ -43,25 +34,26 @@ def _ranked(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFr
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def frequent_substructures(outcomes: DataFrame, k: int = 10, max_len: int = 4) -> DataFrame:
-    """The ``k`` most frequent parts of normal outcomes per experiment and size, with multiplicity."""
-    counts = substructures(_normal(outcomes), max_len=max_len).groupBy(*KEY, "sub").agg(F.sum("times").alias("cnt"))
-    return _ranked(counts, KEY, [F.desc("cnt"), F.col("sub")], k)
+def _texts(outcomes: DataFrame) -> DataFrame:
+    return _normal(outcomes).withColumn("text", F.col("outcome"))
+
+
+def frequent_substructures(outcomes: DataFrame, k: int = 10) -> DataFrame:
+    """The ``k`` most frequent parts, of any length, of normal outcomes per experiment and size, with multiplicity."""
+    top = parts.top_parts(_texts(outcomes), KEY, k)
+    return top.select(*KEY, F.col("part").alias("sub"), F.col("weight").alias("cnt"), "rank")
 
 
-def new_motifs(outcomes: DataFrame, max_len: int = 4) -> DataFrame:
-    """Per experiment and size: parts that no smaller size of the experiment has."""
-    first = substructures(_normal(outcomes), max_len=max_len).groupBy("experiment", "sub").agg(F.min("size").alias("size"))
-    return first.groupBy(*KEY).agg(F.count("*").alias("new_motifs"))
+def new_motifs(outcomes: DataFrame) -> DataFrame:
+    """Per experiment and size: parts, of any length, that no smaller size of the experiment has."""
+    least = outcomes.where("status = 'normal'").groupBy("experiment", F.col("outcome").alias("text")).agg(F.min("size").alias("size"), F.lit(1).alias("times"))
+    return parts.first_sizes(least, ["experiment"]).withColumnRenamed("parts", "new_motifs")
 
 
-def reuse_values(outcomes: DataFrame, k: int = 5, max_len: int = 4) -> DataFrame:
-    """Top parts of two characters or more over distinct outcomes: occurrences, outcomes that hold them, and savings."""
-    subs = substructures(_normal(outcomes), min_len=2, max_len=max_len)
-    per = subs.groupBy(*KEY, "sub", "outcome").agg(F.count("*").alias("n"))  # one row an outcome: no distinct count is needed
-    both = per.groupBy(*KEY, "sub").agg(F.sum("n").alias("frequency"), F.count("*").alias("outcomes"))
-    saved = both.withColumn("savings", F.col("frequency") * (F.length("sub") - 1))
-    return _ranked(saved, KEY, [F.desc("savings"), F.col("sub")], k)
+def reuse_values(outcomes: DataFrame, k: int = 5) -> DataFrame:
+    """Top parts of two characters or more, of any length, over distinct outcomes: occurrences, outcomes that hold them, and savings."""
+    top = parts.top_parts(_texts(outcomes), KEY, k, savings=True, least_len=2)
+    return top.select(*KEY, F.col("part").alias("sub"), F.col("occurrences").alias("frequency"), F.col("texts").alias("outcomes"), F.col("value").alias("savings"), "rank")
 
 
 def attractors(outcomes: DataFrame, k: int = 15) -> DataFrame:

@@ -11,7 +11,7 @@ from .registry import OUT, REPORT, query
 
 KEYS = "experiment, size"
 DONE = f"{OUT}, d AS (SELECT experiment, size, outcome, count(*) AS times FROM outcomes WHERE status = 'normal' GROUP BY ALL)"
-SUBS = f"""{DONE}, sub AS (SELECT experiment, size, outcome, times, substr(outcome, i, l) AS sub, l FROM (SELECT *, unnest(range(1, length(outcome) + 1)) AS i FROM d), (VALUES (1), (2), (3), (4)) AS z(l) WHERE i + l - 1 <= length(outcome))"""
+SUBS = f"""{DONE}, sub AS (SELECT experiment, size, outcome, times, substr(outcome, i, l) AS sub, l FROM (SELECT *, unnest(range(1, length(outcome) - i + 2)) AS l FROM (SELECT *, unnest(range(1, length(outcome) + 1)) AS i FROM d)))"""
 ADV = f"{REPORT}, adv AS (SELECT r.*, b.ratio AS base_ratio, round(CASE WHEN b.ratio > 0 THEN r.ratio / b.ratio ELSE 1.0 END, 6) AS advantage FROM reports r JOIN reports b ON b.experiment = 'en' AND b.size = r.size)"
 
 
