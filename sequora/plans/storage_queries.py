@@ -8,8 +8,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scratch import shared_folder
+from ..functions.scratch import materialize, shared_folder
 from ..operators import outcomes as O
+from ..operators import seen
 from ..operators import trie as T
 from ..sources import readers, writers
 from . import fixtures as fx
@@ -24,8 +25,8 @@ def place(spark) -> str:
 
 
 def groups(words: DataFrame) -> list[str]:
-    """The names of the groups: as few as there are languages."""
-    return sorted(r.grp for r in words.select("grp").distinct().collect())
+    """The names of the groups: as few as there are languages. Rows without a group go to none."""
+    return sorted(r.grp for r in words.where("grp IS NOT NULL").select("grp").distinct().collect())
 
 
 @query("src2_dictionary", f"WITH {LEX} SELECT grp, word, reverse(word) AS transcription FROM lex")
@@ -68,7 +69,7 @@ def _(spark, sf):
     path, words = place(spark), fx.lexicon(spark, sf).select("grp", "key", "n")
     writers.replace_partitions(words, path, ["grp"])
     writers.reload_groups(words.where("grp = 'de'").withColumn("n", F.col("n") + 1), path, "grp", ["de", "fr"])  # no rows for fr any more
-    return spark.read.parquet(path).select("grp", "key", "n")
+    return writers.read_rows(spark, path).select("grp", "key", "n")
 
 
 @query("snk2_insert_absent", f"WITH {LEX} SELECT DISTINCT word AS key, grp FROM lex")
@@ -76,7 +77,7 @@ def _(spark, sf):
     path, words = place(spark), fx.lexicon(spark, sf).select("key", "grp")
     writers.insert_absent(words.where("grp IN ('en', 'de')"), path, ["key", "grp"])
     writers.insert_absent(words, path, ["key", "grp"])
-    return spark.read.parquet(path)
+    return writers.read_rows(spark, path)
 
 
 @query("snk3_replace_reports", f"WITH {REPORT} SELECT experiment, size, CASE WHEN size = 8 THEN 0 ELSE total END::BIGINT AS total FROM reports")
@@ -84,7 +85,7 @@ def _(spark, sf):
     path, rows = place(spark), reports(spark, sf).select("experiment", "size", "total")
     writers.replace_partitions(rows, path, ["experiment", "size"])
     writers.replace_partitions(rows.where("size = 8").withColumn("total", F.lit(0).cast("long")), path, ["experiment", "size"])
-    return spark.read.parquet(path).select("experiment", "size", "total")
+    return writers.read_rows(spark, path).select("experiment", "size", "total")
 
 
 @query("snk3_replace_motifs", f"WITH {SUBS}, f AS (SELECT experiment, sub, min(size) AS size FROM sub GROUP BY ALL) SELECT experiment, size, count(*) AS new_motifs FROM f GROUP BY ALL")
@@ -92,16 +93,25 @@ def _(spark, sf):
     path, rows = place(spark), O.new_motifs(fx.outcomes(spark, sf))
     for _ in range(2):
         writers.replace_partitions(rows, path, ["experiment", "size"])
-    return spark.read.parquet(path).select("experiment", "size", "new_motifs")
+    return writers.read_rows(spark, path).select("experiment", "size", "new_motifs")
+
+
+@query("snk5_motifs_by_size", f"WITH {SUBS}, f AS (SELECT experiment, sub, min(size) AS size FROM sub GROUP BY ALL) SELECT experiment, size, count(*) AS new_motifs FROM f GROUP BY ALL")
+def _(spark, sf):
+    path, rows = place(spark), materialize(fx.outcomes(spark, sf))
+    for name, sizes in (("middle", "size BETWEEN 5 AND 8"), ("small", "size < 5"), ("large", "size > 8"), ("small", "size < 5")):  # in any order; a retry changes nothing
+        seen.add_outcomes(rows.where(sizes), path, name)
+    return seen.new_motifs(spark, path)
 
 
 @query("snk4_append_outcomes", f"WITH {OUT} SELECT * FROM outcomes")
 def _(spark, sf):
     path, rows = place(spark), fx.outcomes(spark, sf).select("experiment", "size", "input", "outcome", "steps", "status")
-    writers.append_outcomes(rows.where("experiment = 'en'"), path)
-    for _ in range(2):  # a retry adds nothing
-        writers.append_outcomes(rows.where("experiment <> 'en'"), path)
-    return spark.read.parquet(path).select("experiment", "size", "input", "outcome", "steps", "status")
+    writers.append_outcomes(rows.where("size <= 6"), path, "small")
+    for _ in range(2):  # a retry adds nothing, and a second part of a pair leaves the first
+        writers.append_outcomes(rows.where("size > 6 AND steps > 1"), path, "large")
+    writers.append_outcomes(rows.where("size > 6 AND steps <= 1"), path, "rest")
+    return writers.read_rows(spark, path).select("experiment", "size", "input", "outcome", "steps", "status")
 
 
 @query("snk6_export_edges", f"WITH {NODES} SELECT parent AS source, path AS target, token FROM kept WHERE depth > 0")

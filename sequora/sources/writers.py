@@ -2,51 +2,40 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-from urllib.parse import unquote
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import Store
+
+ROWS = "rows"  # the table of a store that has only one
+
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+def read_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a table that the functions below write, as its last version has them."""
+    rows = Store(spark, path).read(ROWS)
+    if rows is None:
+        raise FileNotFoundError(f"nothing was written to {path} yet")
+    return rows
 
 
 def replace_partitions(df: DataFrame, path: str, keys: list[str]) -> None:
-    """Write ``df``, replacing the partitions that it has rows for and no others (facts of a group, reports and motifs of a size)."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+    """Replace the partitions that ``df`` has rows for and no others (facts of a group, reports and motifs of a size), all at once."""
+    Store(df.sparkSession, path).replace(ROWS, df, keys)
 
 
 def reload_groups(df: DataFrame, path: str, key: str, groups: list[str]) -> None:
-    """Replace the rows of ``groups`` by those that ``df`` has for them; a group without new rows is emptied."""
-    new = df.where(F.col(key).isin(groups))
-    gone = set(groups) - {r[0] for r in new.select(key).distinct().collect()}
-    replace_partitions(new, path, [key])
-    jvm = df.sparkSession.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
-    for status in fs.listStatus(at):
-        name, _, value = status.getPath().getName().partition("=")
-        if name == key and unquote(value) in gone:
-            fs.delete(status.getPath(), True)
+    """Replace the rows of ``groups`` by those that ``df`` has for them; a group without new rows is emptied. Readers see all of it or nothing."""
+    Store(df.sparkSession, path).replace(ROWS, df.where(F.col(key).isin(groups)), [key], [{key: g} for g in groups])
 
 
 def insert_absent(df: DataFrame, path: str, keys: list[str]) -> None:
-    """Append the rows whose key the table doesn't have yet, each key once; null is a key like any other."""
-    new = df.dropDuplicates(keys)
-    if _exists(df.sparkSession, path):
-        old = df.sparkSession.read.parquet(path).select(*[F.col(k).alias(f"_old_{k}") for k in keys])
-        same = [F.col(k).eqNullSafe(F.col(f"_old_{k}")) for k in keys]
-        new = new.join(old, reduce(and_, same), "left_anti")
-    new.write.mode("append").parquet(path)
-
-
-def append_outcomes(df: DataFrame, path: str) -> None:
-    """Add the outcomes of whole (experiment, size) pairs; writing a pair again replaces it, so a retry adds nothing twice."""
-    replace_partitions(df, path, ["experiment", "size"])
+    """Append the rows whose key the table doesn't have yet, each key once, whoever else inserts; null is a key like any other."""
+    Store(df.sparkSession, path).insert_absent(ROWS, df, keys)
+
+
+def append_outcomes(df: DataFrame, path: str, batch: str) -> None:
+    """Add outcomes of some (experiment, size) pairs, all or none. ``batch`` names them, so that a retry adds nothing twice."""
+    Store(df.sparkSession, path).append(ROWS, df, ["experiment", "size"], batch)
 
 
 def to_do(sizes: DataFrame, reports: DataFrame) -> DataFrame:

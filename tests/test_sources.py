@@ -45,10 +45,10 @@ def test_reload_insert_and_replace(spark, tmp_path):
     rows = lambda *x: spark.createDataFrame(list(x), "grp string, v int")
     writers.replace_partitions(rows(("a", 1), ("b", 2)), facts, ["grp"])
     writers.replace_partitions(rows(("a", 3)), facts, ["grp"])
-    assert {(r.grp, r.v) for r in spark.read.parquet(facts).collect()} == {("a", 3), ("b", 2)}
+    assert {(r.grp, r.v) for r in writers.read_rows(spark, facts).collect()} == {("a", 3), ("b", 2)}
     writers.insert_absent(rows(("a", 1), ("a", 2)), dim, ["grp"])
     writers.insert_absent(rows(("a", 5), ("c", 6)), dim, ["grp"])
-    assert sorted(r.grp for r in spark.read.parquet(dim).collect()) == ["a", "c"]
+    assert sorted(r.grp for r in writers.read_rows(spark, dim).collect()) == ["a", "c"]
 
 
 def test_exports_read_back(spark, tmp_path):
@@ -74,8 +74,10 @@ def test_report_csv_resume_and_outcomes(spark, tmp_path):
     sizes = spark.createDataFrame([("e", 1), ("e", 2)], "experiment string, size int")
     assert [r.size for r in writers.to_do(sizes, rep).collect()] == [2]
     out = spark.createDataFrame([("e", 1, "a", "normal"), ("e", 1, "a", "normal"), ("e", 1, None, "divergent")], "experiment string, size int, outcome string, status string")
-    writers.append_outcomes(out, str(tmp_path / "out"))
-    assert writers.seen_outcomes(spark.read.parquet(str(tmp_path / "out"))).count() == 1
+    for batch in ("a", "b", "a"):
+        writers.append_outcomes(out, str(tmp_path / "out"), batch)
+    stored = writers.read_rows(spark, str(tmp_path / "out"))
+    assert stored.count() == 6 and writers.seen_outcomes(stored).count() == 1
 
 
 def test_stream_equals_batch(spark, tmp_path):
