@@ -2,7 +2,7 @@
 
 Each word has a sparse random index vector that follows from a hash of the word. A word's vector
 is its index vector plus the index vectors that stood beside it in a bounded sample of labelled
-documents. Words outside the sample's vocabulary stand as their shape (runs of letters, digits and
+documents. Words that fewer than four of them have stand as their shape (runs of letters, digits and
 signs), which has a vector like any word. Documents are the means of their words' vectors; a
 two-layer network scores them, and its probabilities are calibrated by one temperature.
 """
@@ -22,11 +22,11 @@ from .common import map_texts, materialize
 RUNS = [(re.compile("[A-ZÀ-ÖØ-Þ]+"), "X"), (re.compile(r"[^\W\d_X]+"), "x"), (re.compile(r"\d+"), "9"), (re.compile(r"(.)\1+"), r"\1")]
 
 
-def shape(word: str, most: int = 8) -> str:
+def shape(word: str) -> str:
     """Runs of capitals, other letters and digits as X, x and 9; other signs once a run."""
     for pattern, sign in RUNS:
         word = pattern.sub(sign, word)
-    return "\0" + word[:most]
+    return "\0" + word
 
 
 def index_vector(word: str, dims: int, nonzero: int = 4) -> np.ndarray:
@@ -40,15 +40,15 @@ def index_vector(word: str, dims: int, nonzero: int = 4) -> np.ndarray:
 class QualityModel:
     """Word vectors, network and temperature, fitted to labelled texts; the same rows give the same model."""
 
-    def __init__(self, texts: list[str], labels: list[int], dims: int = 96, hidden: int = 24, min_docs: int = 4, most_words: int = 20_000, epochs: int = 60) -> None:
+    def __init__(self, texts: list[str], labels: list[int], dims: int = 96, hidden: int = 24, min_docs: int = 4, epochs: int = 60) -> None:
         self.dims = dims
         lists = [t.split() for t in texts]
         seen: dict[str, int] = {}
         for words in lists:
             for w in set(words):
                 seen[w] = seen.get(w, 0) + 1
-        vocabulary = sorted((w for w, n in seen.items() if n >= min_docs), key=lambda w: (-seen[w], w))[:most_words]
-        shapes = sorted({shape(w) for w in seen})[:most_words]
+        vocabulary = sorted((w for w, n in seen.items() if n >= min_docs), key=lambda w: (-seen[w], w))
+        shapes = sorted({shape(w) for w in seen})
         self.ids = {w: i for i, w in enumerate([*vocabulary, *shapes, "\0"])}
         self.n_fixed = len(self.ids)
         index = np.array([index_vector(w, dims) for w in self.ids])
@@ -75,9 +75,8 @@ class QualityModel:
     def _pool(self, ids: np.ndarray) -> np.ndarray:
         if not len(ids):
             return np.zeros(self.dims + 1, np.float32)
-        counts = np.bincount(ids)
-        at = np.flatnonzero(counts)
-        return np.append(counts[at] @ self.vectors[at] / len(ids), np.log1p(len(ids))).astype(np.float32)
+        at, counts = np.unique(ids, return_counts=True)
+        return np.append(counts @ self.vectors[at] / len(ids), np.log1p(len(ids))).astype(np.float32)
 
     def _fit(self, x: np.ndarray, y: np.ndarray, hidden: int, epochs: int) -> None:
         rng = np.random.default_rng(7)
@@ -120,7 +119,8 @@ class QualityModel:
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 3000, longest: int = 20_000) -> QualityModel:
     """Fit the model to ``sample`` labelled rows, taken by the hash of their ids.
 
-    Texts of over ``longest`` characters are not among them; the two bounds limit what reaches the
+    All words that ``min_docs`` (4) of the sample's texts have get a vector of their own, any other word that of its shape, or one for all shapes
+    that the sample lacks; so the two bounds below also bound the vocabulary. Texts of over ``longest`` characters are not among them; the two bounds limit what reaches the
     driver. Only the rows of ``labels`` are used, and only their texts and labels. A document with two
     labels counts once for each. Without any label all scores are 0.5; with one label they lean to it.
     """
