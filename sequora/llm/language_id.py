@@ -3,27 +3,32 @@
 For each language a suffix automaton is built over a bounded sample of its labelled text. A text
 is cut into phrases, each the longest match that the automaton still follows, wherever it begins and
 ends; the fewer phrases a character, the closer the text is to the sample, and the language with the
-fewest wins. What is parsed is the running text in lower case, letters only, one space between words.
+fewest wins. What is parsed is the running text in lower case, letters and their marks only, one space between words.
 """
 
 from __future__ import annotations
 
 import re
+import warnings
 from functools import lru_cache
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_texts
 
 UNKNOWN = "und"
-SAMPLE_CHARS = 640_000  # of all languages together: some 700 bytes each in every worker
 LETTERS = re.compile(r"[^\W\d_]+")
+MARK = regex.compile(r"\p{M}")
+WITH_MARKS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 def words_of(text: str) -> list[str]:
-    """Runs of letters, in lower case."""
+    """Runs of letters with the marks on them (vowel signs, points, accents), in lower case."""
+    if not text.isascii() and MARK.search(text):
+        return WITH_MARKS.findall(text.lower())
     words = LETTERS.findall(text.lower())
     if text.isascii() or all(map(str.isalpha, words)):
         return words
@@ -110,15 +115,19 @@ def identifier(samples: tuple[tuple[str, str], ...]) -> Identifier:
     return Identifier(dict(samples))
 
 
-def sample_texts(labelled: DataFrame, lang_col: str, text_col: str, docs_per_lang: int, chars_per_lang: int, most_langs: int = 200) -> dict[str, str]:
+def sample_texts(labelled: DataFrame, lang_col: str, text_col: str, docs_per_lang: int, chars_per_lang: int, most_langs: int = 200, total_chars: int = 640_000) -> dict[str, str]:
     """Up to ``docs_per_lang`` texts of each language, by the hash of the text, cut at ``chars_per_lang`` characters in all.
 
-    All languages together have ``SAMPLE_CHARS`` at most; more than ``most_langs`` languages are an error.
+    All languages together have ``total_chars`` at most (some 700 bytes each in every worker); where that leaves a language fewer than
+    ``chars_per_lang``, a warning says so. More than ``most_langs`` languages are an error.
     """
     named = [r[0] for r in labelled.where(F.col(lang_col).isNotNull()).select(lang_col).distinct().limit(most_langs + 1).collect()]
     if len(named) > most_langs:
         raise ValueError(f"more than {most_langs} languages are labelled; raise most_langs or clean the labels")
-    chars_per_lang = min(chars_per_lang, SAMPLE_CHARS // max(1, len(named)))
+    share = total_chars // max(1, len(named))
+    if share < chars_per_lang:
+        warnings.warn(f"{len(named)} languages share {total_chars} characters of samples: {share} each, not {chars_per_lang}; raise total_chars for more", stacklevel=2)
+        chars_per_lang = share
     short = labelled.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(
         F.col(lang_col).alias("lang"), F.substring(text_col, 1, chars_per_lang).alias("t"), F.xxhash64(text_col).alias("h")
     )
@@ -140,6 +149,7 @@ def identify(
     docs_per_lang: int = 48,
     chars_per_lang: int = 40_000,
     most_langs: int = 200,
+    total_chars: int = 640_000,
     keep: list[str] | None = None,
 ) -> DataFrame:
     """Add ``lang_pred`` and ``score`` to each row of ``docs``, learned from ``labelled`` alone.
@@ -147,9 +157,10 @@ def identify(
     Null texts and texts without a letter are ``und`` with score 0, as is everything if nothing is
     labelled; ties go to the language that comes first by name. Repeated rows are treated alike,
     whole texts are parsed (a text and its lower-case copy are held at once), an empty table gives an empty one; columns of the input named like a
-    new one are replaced. The sample (the two bounds) is all that reaches the driver.
+    new one are replaced. The sample (``docs_per_lang``, ``chars_per_lang`` and ``total_chars``
+    of all languages, which share the latter evenly) is all that reaches the driver; more than ``most_langs`` languages raise a ``ValueError``.
     """
-    samples = sample_texts(labelled, lang_col, text_col, docs_per_lang, chars_per_lang, most_langs)
+    samples = sample_texts(labelled, lang_col, text_col, docs_per_lang, chars_per_lang, most_langs, total_chars)
     pairs = tuple(sorted(samples.items()))
 
     def run(texts: list[str]) -> list[pa.Array]:
