@@ -81,7 +81,7 @@ class Nodes:
             at = "@" in core
             rows += bytes(
                 (1, at, at and MAIL_LIKE.fullmatch(core) is not None, DOTTED.fullmatch(core) is not None, 1 <= n <= 3, 4 <= n <= 9)
-                + (10 <= n <= 13, 14 <= n <= 19, n > 19, core[:1] == "+", "(" in core, "-" in core, len(core) > 2 * n, any(c.isalpha() for c in core[:64]))
+                + (10 <= n <= 13, 14 <= n <= 19, n > 19, core[:1] == "+", "(" in core, "-" in core, len(core) > 2 * n, any(map(str.isalpha, core)))
                 + (label == 1, label == 2, label == 3, label == 4)
             )
             places.extend((lo, hi))
