@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 import public_tokenizers
-from sequora.llm import bpe_codec, quality_model
+from sequora.llm import bpe_codec, language_id, quality_model
 from sequora.llm.queries import ORACLE_SQL, QUERIES
 
 from . import brute
@@ -126,3 +126,16 @@ def test_op10(spark, folders):
         ids = enc.encode_ordinary(t or "")
         want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     assert result(spark, folders[0], 10, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(want, key=repr)
+
+
+def test_no_hidden_bounds(spark):
+    """Every word of four texts has a vector however many there are, shapes aren't cut, marks stay with their letters, and samples that are cut say so."""
+    words = [f"w{i}x" for i in range(25_000)]
+    model = quality_model.QualityModel([" ".join(words)] * 4, [0, 1, 0, 1], epochs=1)
+    assert all(w in model.ids for w in words) and model.ids[words[0]] != model.ids[words[1]]
+    assert quality_model.shape("A-b.c-d.e-f.g") == "\0X-x.x-x.x-x.x"
+    assert language_id.words_of("हिन्दी x² ภาษาไทย שָׁלוֹם ́ 1") == ["हिन्दी", "x", "ภาษาไทย", "שָׁלוֹם"]
+    rows = spark.createDataFrame([(f"l{i}", f"{'abcdefgh'[i % 8] * 5} " * 40) for i in range(8)], "lang string, text string")
+    with pytest.warns(UserWarning, match="share 400 characters"):
+        got = language_id.sample_texts(rows, "lang", "text", 4, 100, total_chars=400)
+    assert len(got) == 8 and max(map(len, got.values())) == 50
