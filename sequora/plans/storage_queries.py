@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scratch import materialize, shared_folder
+from ..operators import live_trie
 from ..operators import outcomes as O
 from ..operators import seen
 from ..operators import trie as T
@@ -131,3 +132,27 @@ def _(spark, sf):
     both = O.size_report(rows).join(O.new_motifs(rows), ["experiment", "size"], "left").na.fill(0, ["new_motifs"])
     writers.export_report(both, path, by="experiment")
     return spark.read.csv(path, header=True, schema="size int, total long, distinct long, ratio double, divergent long, explosive long, motifs long, avg double, max int, experiment string")
+
+
+LIVE = f"""{LEX}, now AS (SELECT grp, word, CASE WHEN grp = 'de' THEN n + 1 ELSE n END AS n FROM lex WHERE grp <> 'fr' AND NOT (grp = 'en' AND length(word) > 9)),
+pre AS (SELECT grp, n, word, unnest(range(0, length(word) + 1)) AS i FROM now),
+gn AS (SELECT substr(word, 1, i) AS path, i::INTEGER AS depth, grp, sum(n)::BIGINT AS cnt, coalesce(sum(n) FILTER (i = length(word)), 0)::BIGINT AS term FROM pre GROUP BY ALL)"""
+
+
+def followed(spark, sf):
+    """A trie after all groups came, one was deleted, one changed and one lost some of its sequences."""
+    path, words = place(spark), materialize(fx.lexicon(spark, sf))
+    live_trie.reload_groups(words, path, groups(words))
+    live_trie.reload_groups(words.where("grp = 'en' AND length(key) <= 9"), path, ["en"])
+    live_trie.reload_groups(words.where("grp = 'de'").withColumn("n", F.col("n") + 1), path, ["de", "fr"])
+    return path
+
+
+@query("tri01_reloaded_counts", f"WITH {LIVE} SELECT path, depth, grp, cnt, term FROM gn")
+def _(spark, sf):
+    return live_trie.counts(spark, followed(spark, sf)).select(T.label().alias("path"), "depth", "grp", "cnt", "term")
+
+
+@query("tri03_reloaded_prune", f"WITH {LIVE} SELECT path, depth, sum(cnt)::BIGINT AS total FROM gn GROUP BY path, depth HAVING sum(cnt) >= 20 OR depth = 0")
+def _(spark, sf):
+    return live_trie.nodes(spark, followed(spark, sf), 20).select(T.label().alias("path"), "depth", "total")
