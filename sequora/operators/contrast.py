@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dims import SOUND_CLASSES
+from .paths import token_hash
 
 
 def templates(seqs: DataFrame) -> DataFrame:
@@ -18,12 +19,25 @@ def templates(seqs: DataFrame) -> DataFrame:
     return rows.select("grp", F.slice("tokens", F.lit(1), F.col("i")).alias("before"), F.expr("slice(tokens, i + 2, size(tokens))").alias("after"), "token")
 
 
+def blank_keys(seqs: DataFrame) -> DataFrame:
+    """``(grp, pos, k1, k2, token)``: the same with keys of fixed size in place of the arrays, so a sequence of L tokens costs L such rows.
+
+    A blank is its place and two sums (exclusive or) of 64-bit hashes of all other (place, token); the sums of a sequence are made once,
+    and each blank takes its own token off. Both agree for different surroundings once in 2^128.
+    """
+    rows = seqs.select("grp", "tokens").distinct()
+    total = lambda k: F.aggregate(F.transform("tokens", lambda t, i: token_hash(i + 1, t, k)), F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(h))
+    rows = rows.select("grp", total(1).alias("t1"), total(2).alias("t2"), F.posexplode("tokens").alias("i", "token"))
+    own = lambda k: F.col(f"t{k}").bitwiseXOR(token_hash(F.col("i") + 1, F.col("token"), k)).alias(f"k{k}")
+    return rows.select("grp", (F.col("i") + 1).alias("pos"), own(1), own(2), "token")
+
+
 def contrasting_pairs(blanks: DataFrame) -> DataFrame:
-    """``(grp, a, b)``: tokens a < b that fill one blank.
+    """``(grp, a, b)``: tokens a < b that fill one blank, of ``templates`` or ``blank_keys``.
 
     A blank's fillers are a set of inventory tokens, so the pairs of a blank are bounded by the inventory.
     """
-    sets = blanks.groupBy("grp", "before", "after").agg(F.array_sort(F.collect_set("token")).alias("s")).where(F.size("s") > 1).select("grp", "s").distinct()
+    sets = blanks.groupBy(*[c for c in blanks.columns if c != "token"]).agg(F.array_sort(F.collect_set("token")).alias("s")).where(F.size("s") > 1).select("grp", "s").distinct()
     pairs = F.flatten(F.transform("s", lambda x, i: F.transform(F.slice("s", i + 2, F.size("s")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     return sets.select("grp", F.explode(pairs).alias("p")).select("grp", "p.a", "p.b").distinct()
 

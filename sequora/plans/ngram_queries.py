@@ -134,7 +134,7 @@ SIM = f"{COMPL}, sim AS (SELECT *, CASE WHEN substr(a, 1, 1) = substr(b, 1, 1) T
 
 def complementary(spark, sf):
     seqs = fx.lexicon(spark, sf)
-    return C.complementary_pairs(seqs, C.contrasting_pairs(C.templates(seqs)))
+    return C.complementary_pairs(seqs, C.contrasting_pairs(C.blank_keys(seqs)))
 
 
 @query("min1_templates", f"WITH {BLANKS} SELECT grp, before, after, token FROM blank")
@@ -144,7 +144,7 @@ def _(spark, sf):
 
 @query("min2_contrasting_pairs", f"WITH {PAIRS} SELECT * FROM con")
 def _(spark, sf):
-    return C.contrasting_pairs(C.templates(fx.lexicon(spark, sf)))
+    return C.contrasting_pairs(C.blank_keys(fx.lexicon(spark, sf)))
 
 
 @query("min3_complementary_pairs", f"WITH {COMPL} SELECT * FROM com")
