@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dims import VOWELS
 from ..functions.scratch import materialize
+from .intervals import labelled
 
 
 def parent(path: str | Column = "path") -> Column:
@@ -122,22 +123,15 @@ def incoming_prob(nodes: DataFrame, probs: DataFrame) -> DataFrame:
     return joined.withColumn("p_in", p).drop("_p", "_s", "_t", "p")
 
 
-def _over_ancestors(nodes: DataFrame, value: Column, name: str) -> DataFrame:
-    """Sum of ``value`` over each node's subtree, itself included: every node adds to all its prefixes."""
-    up = nodes.select(value.alias("_v"), F.explode(F.transform(F.sequence(F.lit(0), F.col("depth")), lambda i: F.slice("path", 1, i))).alias("path"))
-    return up.groupBy("path").agg(F.sum("_v").cast("long").alias(name))
-
-
 def subtree_weights(nodes: DataFrame, mode: str = "default") -> DataFrame:
     """Add ``weight``: totals summed over the subtree (``legacy``: at least 1 a node)."""
     own = F.col("total") if mode == "default" else F.greatest("total", F.lit(1))
-    return nodes.join(_over_ancestors(nodes, own, "weight"), "path")
+    return labelled(nodes, weight=own).drop("enter", "leave", "leaves")
 
 
 def leaf_counts(nodes: DataFrame) -> DataFrame:
     """Add ``leaves``: nodes without children in the subtree (a leaf has itself)."""
-    leaf = F.when(F.col("child_count") == 0, 1).otherwise(0)
-    return nodes.join(_over_ancestors(with_child_count(nodes), leaf, "leaves"), "path")
+    return labelled(nodes).drop("enter", "leave")
 
 
 def is_vowel(token: Column, vowels: str = VOWELS) -> Column:
