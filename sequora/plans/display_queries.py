@@ -8,9 +8,11 @@ from ..functions import dims
 from ..operators import dashboards as D
 from ..operators import lookup as L
 from ..operators import ngrams as N
+from ..operators import stored_nodes as P
 from ..operators import trie as T
 from . import fixtures as fx
 from .registry import ENT, LEX, NODES, query
+from .storage_queries import place
 from .trie_queries import INV, OWN, ROLE, V, flat, inventories, nodes, own_stats, shared_stats, SHARED
 
 FIG = "fig AS (SELECT grp, arg_max(depth, nodes * 1000 - depth) AS peak_depth, max(nodes) AS peak_nodes, min(depth) FILTER (depth > 1 AND avg_branch < 2) AS convergence_depth, sum(nodes)::BIGINT AS nodes, sum(terminals)::BIGINT AS terminals, max(depth) AS max_depth, max(avg_branch) AS peak_branch, round(avg(avg_entropy), 6) AS mean_entropy FROM gs GROUP BY grp)"
@@ -108,6 +110,16 @@ def _(spark, sf):
     return flat(L.nodes_by_depth(nodes(spark, sf), 2, 4, 100, 500), "depth", "total", "total_count", "has_more")
 
 
+@query("flt4_stored_pages", f"""WITH {NODES}, r AS (SELECT path, depth, total, row_number() OVER (ORDER BY depth, path) - 1 AS k, count(*) OVER () AS c FROM kept WHERE depth BETWEEN 2 AND 9)
+SELECT path, depth, total, c AS total_count, c > CASE WHEN k < 700 THEN 700 ELSE c END AS has_more FROM r WHERE k BETWEEN 400 AND 699 OR k >= c - 77""")
+def _(spark, sf):
+    path = place(spark)
+    P.write_pages(nodes(spark, sf), path, 1000)
+    one = P.page(spark, path, 2, 9, 400, 300)
+    count = one.first().total_count
+    return flat(one.unionByName(P.page(spark, path, 2, 9, count - 77, 500)), "depth", "total", "total_count", "has_more")
+
+
 @query("flt5_children_of", f"WITH {NODES} SELECT path, total FROM kept WHERE parent = 'e' AND depth = 2")
 def _(spark, sf):
     return flat(L.children_of(nodes(spark, sf), ["e"]), "total")
@@ -134,6 +146,29 @@ def _(spark, sf):
     return flat(L.search(nodes(spark, sf), "q"), "total", "total_matches")
 
 
+@query("flt8_indexed_search", search_sql("q", 50))
+def _(spark, sf):
+    path = place(spark)
+    P.write_index(nodes(spark, sf), path)
+    return flat(P.search(spark, path, "q"), "total", "total_matches")
+
+
+PAIRS_SQL = r"""WITH w AS (SELECT lang AS grp, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS word FROM documents), x AS (SELECT DISTINCT word FROM w),
+t AS (SELECT word, unnest(range(0, length(word) + 1, 2)) AS i FROM x), n AS (SELECT substr(word, 1, i) AS path, i FROM t UNION SELECT word, length(word) FROM x),
+k AS (SELECT * FROM (SELECT path, CASE WHEN length(path) % 2 = 0 THEN right(path, 2) ELSE right(path, 1) END AS token FROM n WHERE path <> '') WHERE token <> 'ß')
+"""
+
+
+@query("flt8_indexed_inside", f"{PAIRS_SQL}, e AS (SELECT path, token FROM k WHERE contains(token, 'ß') ORDER BY token, path LIMIT 40) SELECT path, token, (SELECT count(*) FROM e) AS total_matches FROM e")
+def _(spark, sf):
+    path = place(spark)  # tokens are pairs of letters, so 'ß' is inside of some and is none unless a word ends with it at an odd place
+    words = fx.lexicon(spark, sf).select(F.lit("all").alias("grp"), "key").distinct()
+    pairs = F.transform(F.sequence(F.lit(1), F.length("key"), F.lit(2)), lambda i: F.substring("key", i, F.lit(2)))
+    table = T.prefix_nodes(T.prefix_counts(words.select("grp", pairs.alias("tokens")))).where("token IS NULL OR token <> 'ß'")
+    P.write_index(table, path)
+    return flat(P.search(spark, path, "ß", 40), "token", "total_matches")
+
+
 @query("flt9_visible", f"WITH {NODES} SELECT path, total FROM kept WHERE depth BETWEEN 1 AND 8 AND total >= 5 AND terminal > 0 AND {ROLE} IN ('nucleus', 'coda')")
 def _(spark, sf):
     return flat(L.visible(T.roles(nodes(spark, sf), V), 8, True, ["nucleus", "coda"], 5), "total")
