@@ -161,7 +161,7 @@ def unknown_tokens(checked: DataFrame, k: int = 30) -> DataFrame:
     """The ``k`` most frequent unknown tokens."""
     return (
         checked.select("n", F.explode("issues").alias("issue")).where(F.col("issue").startswith("Unknown phoneme: "))
-        .groupBy(F.substring("issue", 18, 1_000_000).alias("token")).agg(F.sum("n").cast("long").alias("cnt"))
+        .groupBy(F.expr("substring(issue, 18)").alias("token")).agg(F.sum("n").cast("long").alias("cnt"))
         .orderBy(F.desc("cnt"), "token").limit(k)
     )
 

@@ -81,18 +81,27 @@ def hubs(nodes: DataFrame, k: int = 80, min_entropy: float = 2.5, min_children:
     return at.withColumn("priority", priority).where("priority IS NOT NULL").select(F.array_join("path", "").alias("label"), "path", "depth", "total", "priority").orderBy(F.desc("priority"), "label").limit(k)
 
 
+def node_words(sample_words: DataFrame, path: list[str]) -> DataFrame:
+    """``(grp, words)``: the sample words of one node by group, of ``sample_words(path, grp, words)``, joined as text."""
+    here = F.array(*map(F.lit, path)) if path else F.array().cast("array<string>")
+    return sample_words.where(F.col("path") == here).select("grp", F.array_join("words", ",").alias("words"))
+
+
 def node_detail(nodes: DataFrame, path: list[str], k_transitions: int = 12, k_children: int = 30) -> DataFrame:
-    """One node: its totals, number of children, likeliest transitions and first children, joined as text.
+    """One node: its totals by group, number of children, likeliest transitions with their shares, and first children, joined as text.
 
     Only the node and its children are read, and a node's children are bounded by the inventory.
     """
     here = F.array(*map(F.lit, path)) if path else F.array().cast("array<string>")
-    own = nodes.where(F.col("path") == here).select(F.array_join("path", "").alias("label"), "total", "terminal")
+    by_group = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda x: F.concat(x["key"], F.lit(":"), x["value"].cast("string"))), ",")
+    own = nodes.where(F.col("path") == here).select(F.array_join("path", "").alias("label"), "total", "terminal", by_group("counts").alias("by_group"), by_group("terminal_counts").alias("ends_by_group"))
+    top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("total")).alias("t"), "token", "p"))), 1, k_transitions)
     kids = transition_probs(_children(nodes).where(F.col("_p") == here).drop("_p"))
     return own.join(
         kids.agg(
             F.count("*").alias("n_children"),
-            F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("total")).alias("t"), "token"))), 1, k_transitions), lambda x: x["token"]), ",").alias("transitions"),
+            F.array_join(F.transform(top, lambda x: x["token"]), ",").alias("transitions"),
+            F.array_join(F.transform(top, lambda x: F.format_number(100 * x["p"], 2)), ",").alias("shares"),
             F.array_join(F.slice(F.array_sort(F.collect_list("token")), 1, k_children), ",").alias("children"),
         )
     )

@@ -248,6 +248,22 @@ def metadata(nodes: DataFrame) -> DataFrame:
     ).join(groups)
 
 
+def metadata_lists(nodes: DataFrame, inventories: DataFrame) -> DataFrame:
+    """One row: ``languages`` (groups that the root counts, sorted) and a sorted list of tokens for each kind of ``inventories(kind, token)``: all, onset, coda.
+
+    Groups and inventories are small sets by nature.
+    """
+    groups = nodes.where("depth = 0").select(F.array_sort(F.map_keys("counts")).alias("languages"))
+    lists = inventories.groupBy().agg(*[F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("token")))).alias(f"{k}_tokens") for k in ("all", "onset", "coda")])
+    return groups.join(lists)
+
+
+def variant_nodes(nodes: DataFrame, variants: DataFrame) -> DataFrame:
+    """Nodes with surface variants per depth: ``(depth, nodes, with_variants)``. ``variants(path, variants)`` as above."""
+    marked = nodes.join(variants.select("path", F.lit(True).alias("_v")), "path", "left")
+    return marked.groupBy("depth").agg(F.count("*").alias("nodes"), F.count_if(F.coalesce("_v", F.lit(False))).alias("with_variants"))
+
+
 def limited_summary(nodes: DataFrame, max_depth: int) -> DataFrame:
     """One row: kept nodes, edges and sequences up to ``max_depth``, beside the figures of the whole trie."""
     near = F.col("depth") <= max_depth

@@ -12,8 +12,7 @@ from ..operators import stored_nodes as P
 from ..operators import trie as T
 from . import fixtures as fx
 from .registry import ENT, LEX, NODES, query
-from .storage_queries import place
-from .trie_queries import INV, OWN, ROLE, V, flat, inventories, nodes, own_stats, shared_stats, SHARED
+from .trie_queries import INV, OWN, ROLE, SHARED, V, flat, inventories, nodes, own_stats, place, shared_stats
 
 FIG = "fig AS (SELECT grp, arg_max(depth, nodes * 1000 - depth) AS peak_depth, max(nodes) AS peak_nodes, min(depth) FILTER (depth > 1 AND avg_branch < 2) AS convergence_depth, sum(nodes)::BIGINT AS nodes, sum(terminals)::BIGINT AS terminals, max(depth) AS max_depth, max(avg_branch) AS peak_branch, round(avg(avg_entropy), 6) AS mean_entropy FROM gs GROUP BY grp)"
 
@@ -60,11 +59,25 @@ def _(spark, sf):
     return chart(spark, sf)
 
 
+PLACES = list(dict.fromkeys(p for _, _, p, _ in dims.CONSONANTS))
+_PIVOT = ", ".join(f"max(t) FILTER (place = '{p}') AS \"{p}\"" for p in PLACES)
+
+
 @query("xgr9_feature_pivot", f"""WITH {NODES}, f(token, place, manner) AS (VALUES {_FEATURES}), k AS (SELECT DISTINCT token FROM kept WHERE depth = 1),
 c AS (SELECT manner, place, coalesce(string_agg(f.token, ',' ORDER BY f.token) FILTER (k.token IS NOT NULL), '') AS t FROM f LEFT JOIN k USING (token) GROUP BY manner, place)
-SELECT manner, max(t) FILTER (place = 'Bilabial') AS "Bilabial", max(t) FILTER (place = 'Alveolar') AS "Alveolar", max(t) FILTER (place = 'Velar') AS "Velar" FROM c GROUP BY manner""")
+SELECT manner, {_PIVOT} FROM c GROUP BY manner""")
 def _(spark, sf):
-    return D.feature_pivot(chart(spark, sf), ["Bilabial", "Alveolar", "Velar"])
+    return D.feature_pivot(chart(spark, sf), PLACES)
+
+
+_VOWELS = ", ".join(f"('{t}', '{h}', '{b}', {r})" for t, h, b, r in dims.VOWEL_FEATURES)
+
+
+@query("xgr9_vowel_chart", f"""WITH {NODES}, f(token, height, backness, rounded) AS (VALUES {_VOWELS}), k AS (SELECT token, sum(total) AS freq FROM kept WHERE depth = 1 GROUP BY token)
+SELECT height, backness, coalesce(string_agg(f.token, ',' ORDER BY f.token) FILTER (freq IS NOT NULL), '') AS tokens, coalesce(sum(freq), 0)::BIGINT AS freq FROM f LEFT JOIN k USING (token) GROUP BY height, backness""")
+def _(spark, sf):
+    first = nodes(spark, sf).where("depth = 1").groupBy("token").agg(F.sum("total").alias("freq"))
+    return D.feature_chart(first, dims.vowel_dim(spark), "height", "backness")
 
 
 @query("xgr10_token_class", f"""WITH {NODES}, {INV}, t AS (SELECT token, bool_or(kind = 'onset') AS o, bool_or(kind = 'coda') AS c FROM inv GROUP BY token)
@@ -79,12 +92,21 @@ def _(spark, sf):
     return D.hubs(nodes(spark, sf)).drop("path")
 
 
-@query("xgr12_node_detail", f"""WITH {NODES}, k AS (SELECT token, total, row_number() OVER (ORDER BY total DESC, token) AS r, row_number() OVER (ORDER BY token) AS s FROM kept WHERE parent = 'th' AND depth > 0)
-SELECT path AS label, total, terminal, (SELECT count(*) FROM k) AS n_children, (SELECT string_agg(token, ',' ORDER BY r) FROM k WHERE r <= 12) AS transitions, (SELECT string_agg(token, ',' ORDER BY s) FROM k WHERE s <= 30) AS children FROM kept WHERE path = 'th'""")
+@query("xgr12_node_detail", f"""WITH {NODES}, k AS (SELECT token, total, total / sum(total) OVER () AS p, row_number() OVER (ORDER BY total DESC, token) AS r, row_number() OVER (ORDER BY token) AS s FROM kept WHERE parent = 'th' AND depth > 0)
+SELECT path AS label, total, terminal, (SELECT string_agg(grp || ':' || cnt, ',' ORDER BY grp) FROM gn WHERE path = 'th') AS by_group, coalesce((SELECT string_agg(grp || ':' || term, ',' ORDER BY grp) FROM gn WHERE path = 'th' AND term > 0), '') AS ends_by_group,
+(SELECT count(*) FROM k) AS n_children, (SELECT string_agg(token, ',' ORDER BY r) FROM k WHERE r <= 12) AS transitions, (SELECT string_agg(format('{{:.2f}}', 100 * p), ',' ORDER BY r) FROM k WHERE r <= 12) AS shares,
+(SELECT string_agg(token, ',' ORDER BY s) FROM k WHERE s <= 30) AS children FROM kept WHERE path = 'th'""")
 def _(spark, sf):
     return D.node_detail(nodes(spark, sf), ["t", "h"])
 
 
+@query("xgr12_node_words", """WITH p AS (SELECT strftime(ts, '%Y-%m') AS grp, user_id || '/' || (ts::DATE)::VARCHAR AS key, array_to_string(list(event_type ORDER BY ts, event_id), '>') AS path FROM events GROUP BY strftime(ts, '%Y-%m'), user_id, ts::DATE),
+r AS (SELECT *, row_number() OVER (PARTITION BY grp, path ORDER BY key) AS k FROM p WHERE path = 'click>view')
+SELECT grp, string_agg(key, ',' ORDER BY key) AS words FROM r WHERE k <= 5 GROUP BY grp""")
+def _(spark, sf):
+    return D.node_words(T.sample_words(fx.event_paths(spark, sf)), ["click", "view"])
+
+
 @query("xgr13_merged_edges", f"WITH {NODES} SELECT parent AS source, path AS target FROM kept WHERE depth BETWEEN 1 AND 5")
 def _(spark, sf):
     every = T.edges(nodes(spark, sf))

@@ -68,7 +68,7 @@ def _(spark, sf):
 
 INVENT = f"""{LEX}, ch AS (SELECT grp, word, n, unnest(range(1, length(word) + 1)) AS i FROM lex), lc AS (SELECT grp, substr(word, i, 1) AS token, sum(n) AS c FROM ch GROUP BY 1, 2),
 inv AS (SELECT grp, token FROM (SELECT *, sum(c) OVER (PARTITION BY grp) AS s FROM lc) WHERE 200 * c >= s),
-unk AS (SELECT ch.grp, ch.word, ch.n, substr(ch.word, i, 1) AS token FROM ch ANTI JOIN inv ON inv.grp = ch.grp AND inv.token = substr(ch.word, i, 1)),
+unk AS (SELECT ch.grp, ch.word, ch.n, i, substr(ch.word, i, 1) AS token FROM ch ANTI JOIN inv ON inv.grp = ch.grp AND inv.token = substr(ch.word, i, 1)),
 chk AS (SELECT lex.*, coalesce(k, 0) AS issues FROM lex LEFT JOIN (SELECT grp, word, count(*) AS k FROM unk GROUP BY 1, 2) u USING (grp, word))"""
 
 
@@ -81,9 +81,55 @@ def _(spark, sf):
     return fx.inventory(spark, sf).select("grp", "token")
 
 
-@query("val1_validate", f"WITH {INVENT} SELECT grp, word AS key, issues::INTEGER AS issues, issues = 0 AS valid FROM chk")
+@query("val1_validate", f"""WITH {INVENT}, t AS (SELECT grp, word, string_agg('Unknown phoneme: ' || token, '; ' ORDER BY i) AS issues FROM unk GROUP BY grp, word)
+SELECT chk.grp, chk.word AS key, coalesce(t.issues, '') AS issues, chk.issues = 0 AS valid FROM chk LEFT JOIN t USING (grp, word)""")
 def _(spark, sf):
-    return checked(spark, sf).select("grp", "key", F.size("issues").alias("issues"), "valid")
+    return checked(spark, sf).select("grp", "key", F.array_join("issues", "; ").alias("issues"), "valid")
+
+
+#: A decorated word: a stress mark first, length and aspiration on some letters, a tilde that composes with some, a tie to the next letter, and a
+#: syllable border after the second letter; slashes around it. In Spark and in SQL, by the place of a letter (from 1).
+MARKS = [(3, 0, "ː"), (4, 1, "ʰ"), (5, 2, "\u0303")]
+
+
+def decorated(word):
+    def one(c, i):
+        sign = lambda m, r, s: F.when(i % m == r, F.lit(s)).otherwise(F.lit(""))
+        tie = F.when((i % 6 == 4) & (i < F.length(word)), F.lit("\u0361")).otherwise(F.lit(""))
+        return F.concat(c, *[sign(*m) for m in MARKS], tie, F.when(i == 2, F.lit(".")).otherwise(F.lit("")))
+
+    letters = F.transform(prep.letters(word), lambda c, i: one(c, i + 1))
+    return F.concat(F.lit(" /ˈ"), F.array_join(letters, ""), F.lit("/ "))
+
+
+_SIGNS = " || ".join(f"CASE WHEN i % {m} = {r} THEN '{s}' ELSE '' END" for m, r, s in MARKS)
+DECORATED = f"""{LEX}, chars AS (SELECT DISTINCT grp, word, i, substr(word, i, 1) || {_SIGNS} AS c FROM (SELECT grp, word, unnest(range(1, length(word) + 1)) AS i FROM lex)),
+tied AS (SELECT grp, word, i, CASE WHEN i % 6 = 4 AND i < length(word) THEN c || '\u0361' || (SELECT x.c FROM chars x WHERE x.grp = chars.grp AND x.word = chars.word AND x.i = chars.i + 1) ELSE c END AS c FROM chars WHERE NOT (i % 6 = 5)),
+tok AS (SELECT grp, word, 0 AS i, 'ˈ' AS t FROM lex UNION ALL SELECT grp, word, i, nfc_normalize(c) FROM tied UNION ALL SELECT grp, word, 2.5, '.' FROM lex WHERE length(word) >= 2)"""
+
+
+@query("tok1_decorated", f"WITH {DECORATED} SELECT grp, word AS key, string_agg(t, ' ' ORDER BY i) AS tokens FROM tok GROUP BY grp, word")
+def _(spark, sf):
+    words = fx.lexicon(spark, sf).select("grp", "key", decorated(F.col("key")).alias("t"))
+    return words.select("grp", "key", F.array_join(prep.tokenize(F.col("t")), " ").alias("tokens"))
+
+
+@query("tok1b_legacy_decorated", f"WITH {DECORATED.replace('nfc_normalize(c)', 'c')} SELECT grp, word AS key, string_agg(t, ' ' ORDER BY i) AS tokens FROM tok GROUP BY grp, word")
+def _(spark, sf):
+    words = fx.lexicon(spark, sf).select("grp", "key", decorated(F.col("key")).alias("t"))
+    return words.select("grp", "key", F.array_join(prep.tokenize(F.col("t"), "legacy"), " ").alias("tokens"))
+
+
+#: Some tokens of decorated words are mapped as they are; all others lose nothing but prosody.
+DECORATED_MAP = {"en": {"tʰ": "t", "hː": "h"}, "de": {"eʰ": "e", "nː": "n"}}
+_MAPPED = " ".join(f"WHEN grp = '{g}' AND t = '{a}' THEN '{b}'" for g, pairs in DECORATED_MAP.items() for a, b in pairs.items())
+
+
+@query("nrm1_decorated", f"WITH {DECORATED} SELECT grp, word AS key, string_agg(CASE {_MAPPED} ELSE t END, ' ' ORDER BY i) AS norm FROM tok WHERE t NOT IN ('ˈ', '.') GROUP BY grp, word")
+def _(spark, sf):
+    words = fx.lexicon(spark, sf).select("grp", "key", decorated(F.col("key")).alias("t"))
+    norm = prep.normalized(prep.tokenize(F.col("t")), prep.map_of(DECORATED_MAP, F.col("grp")))
+    return words.select("grp", "key", F.array_join(norm, " ").alias("norm"))
 
 
 @query("val2_report", f"WITH {INVENT} SELECT grp, coalesce(sum(n) FILTER (issues = 0), 0)::BIGINT AS valid, sum(n)::BIGINT AS total, round(100 * coalesce(sum(n) FILTER (issues = 0), 0) / sum(n), 6) AS pct FROM chk GROUP BY ROLLUP (grp)")

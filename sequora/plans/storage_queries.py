@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scratch import materialize, shared_folder
+from ..functions import prep
+from ..functions.scratch import materialize
 from ..operators import live_trie
 from ..operators import outcomes as O
 from ..operators import seen
@@ -18,11 +18,7 @@ from . import fixtures as fx
 from .prep_queries import INVENT
 from .registry import LEX, NODES, OUT, REPORT, query
 from .survey_queries import SUBS, reports
-from .trie_queries import nodes
-
-
-def place(spark) -> str:
-    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+from .trie_queries import nodes, place
 
 
 def groups(words: DataFrame) -> list[str]:
@@ -156,3 +152,27 @@ def _(spark, sf):
 @query("tri03_reloaded_prune", f"WITH {LIVE} SELECT path, depth, sum(cnt)::BIGINT AS total FROM gn GROUP BY path, depth HAVING sum(cnt) >= 20 OR depth = 0")
 def _(spark, sf):
     return live_trie.nodes(spark, followed(spark, sf), 20).select(T.label().alias("path"), "depth", "total")
+
+
+@query("src1_lexicon_to_json", f"""WITH {INVENT}, ok AS (SELECT grp, word, n FROM chk WHERE issues = 0 AND length(word) > 0), pre AS (SELECT word, n, unnest(range(0, length(word) + 1)) AS i FROM ok),
+nodes AS (SELECT substr(word, 1, i) AS path, i::BIGINT AS depth, sum(n)::BIGINT AS total, coalesce(sum(n) FILTER (i = length(word)), 0)::BIGINT AS terminal FROM pre GROUP BY ALL)
+SELECT * FROM nodes WHERE total >= 3 OR depth = 0""")
+def _(spark, sf):
+    """The whole way: a lexicon file, tokens, norms, valid ones, a pruned trie, JSON, and back."""
+    text, out, words = place(spark), place(spark), materialize(fx.lexicon(spark, sf))
+    line = F.concat("key", F.lit("\t"), decorated_plainly(F.col("key")), F.lit("\t"), F.col("n").cast("string"))
+    words.select(F.concat_ws("\n", F.concat(F.lit("# "), "grp"), line, F.lit("one field")).alias("value"), "grp").write.partitionBy("grp").text(text)
+    parsed = reduce(DataFrame.union, [readers.read_lexicon(spark, f"{text}/grp={g}").select(F.lit(g).alias("grp"), F.col("word").alias("key"), "transcription") for g in groups(words)])
+    tokens = prep.normalized(prep.tokenize(F.col("transcription")), prep.map_of({}, F.col("grp")))
+    seqs = parsed.withColumn("tokens", tokens).join(words.select("grp", "key", "n"), ["grp", "key"])
+    valid = prep.validate(seqs, fx.inventory(spark, sf)).where("valid AND size(tokens) > 0")
+    kept = T.prune(T.prefix_nodes(T.prefix_counts(valid)), 3)
+    writers.export_trie(kept, T.edges(kept), T.metadata(kept), out)
+    rows = readers.read_export(spark, out)["nodes"]
+    return rows.select(F.coalesce(F.array_join("path", ""), F.lit("")).alias("path"), "depth", "total", "terminal")
+
+
+def decorated_plainly(word):
+    """A word as a transcription: slashes around it, a stress mark first, a border after the second letter and spaces between letters."""
+    spaced = F.array_join(prep.letters(word), " ")
+    return F.concat(F.lit("/ˈ"), F.regexp_replace(spaced, r"^(\S+ \S+) ", "$1 . "), F.lit("/"))

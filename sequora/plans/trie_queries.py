@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.dims import LEGACY_VOWELS
+from ..functions.scratch import shared_folder
 from ..operators import trie as T
 from ..sources import writers
 from . import fixtures as fx
@@ -21,6 +24,11 @@ def nodes(spark, sf, min_count=2):
     return T.prune(T.prefix_nodes(counts(spark, sf)), min_count)
 
 
+def place(spark):
+    """A new folder beside the other scratch tables."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def flat(df, *columns):
     return df.select(T.label().alias("path"), *columns)
 
@@ -230,6 +238,23 @@ def _(spark, sf):
     return T.role_distribution(T.roles(nodes(spark, sf), V))
 
 
+@query("tri17_metadata_lists", f"""WITH {NODES}, {INV} SELECT (SELECT string_agg(DISTINCT grp, ',' ORDER BY grp) FROM lex) AS languages, string_agg(token, ',' ORDER BY token) FILTER (kind = 'all') AS all_tokens,
+string_agg(token, ',' ORDER BY token) FILTER (kind = 'onset') AS onset_tokens, string_agg(token, ',' ORDER BY token) FILTER (kind = 'coda') AS coda_tokens FROM inv""")
+def _(spark, sf):
+    kept = nodes(spark, sf)
+    rows = T.metadata_lists(kept, T.inventories(T.roles(kept, V)))
+    return rows.select(*[F.array_join(c, ",").alias(c) for c in rows.columns])
+
+
+@query("tri22_variant_nodes", f"""WITH {SURF}, pre AS (SELECT norm, word, unnest(range(0, length(norm) + 1)) AS i FROM sf), n AS (SELECT DISTINCT substr(norm, 1, i) AS path FROM pre),
+v AS (SELECT DISTINCT substr(norm, 1, i) AS path FROM sx WHERE substr(word, i, 1) <> substr(norm, i, 1))
+SELECT length(n.path)::INTEGER AS depth, count(*) AS nodes, count(v.path) AS with_variants FROM n LEFT JOIN v USING (path) GROUP BY 1""")
+def _(spark, sf):
+    aligned = fx.surfaces(spark, sf)
+    every = T.prefix_nodes(T.prefix_counts(aligned.select("grp", F.col("norm").alias("tokens"), "n")))
+    return T.variant_nodes(every, T.variants(aligned))
+
+
 COMPACT = f"""WITH {NODES}, q AS (SELECT parent, token, row_number() OVER (PARTITION BY parent ORDER BY total DESC, token) AS k FROM kept WHERE depth > 0),
 t AS (SELECT parent, string_agg(token, ',' ORDER BY k) AS transitions FROM q WHERE k <= 5 GROUP BY parent)
 SELECT path, depth, total, substr({ROLE}, 1, 1) AS role_code, coalesce(transitions, '') AS transitions, CASE WHEN terminal > 0 THEN path ELSE '' END AS words FROM kept LEFT JOIN t ON t.parent = kept.path WHERE depth <= 4"""
@@ -240,11 +265,15 @@ def _(spark, sf):
     kept = nodes(spark, sf)
     probs = T.transition_probs(kept).groupBy(F.col("source").alias("path")).agg(F.map_from_entries(F.collect_list(F.struct("token", "p"))).alias("transition_probs"))
     words = T.sample_words(fx.lexicon(spark, sf).withColumn("grp", F.lit("all"))).drop("grp")
-    rows = writers.compact_nodes(T.roles(kept, V).join(probs, "path", "left").join(words, "path", "left"), 4)
+    path = place(spark)
+    writers.export_compact(T.roles(kept, V).join(probs, "path", "left").join(words, "path", "left"), path, 4)
+    rows = spark.read.json(path).withColumns({"path": F.coalesce("path", F.array().cast("array<string>")), "depth": F.col("depth").cast("int")})  # empty lists were left out
     listed = lambda tokens, name: F.coalesce(F.array_join(tokens, ","), F.lit("")).alias(name)
     return flat(rows, "depth", "total", "role_code", listed(F.col("transitions")["token"], "transitions"), listed(F.col("words"), "words"))
 
 
 @query("snk8_nested_stats", f"{OWN} SELECT grp, count(*)::INTEGER AS depths, sum(nodes)::BIGINT AS nodes FROM gs GROUP BY grp")
 def _(spark, sf):
-    return writers.nested_stats(own_stats(spark, sf)).select("grp", F.size("stats").alias("depths"), F.aggregate("stats", F.lit(0).cast("long"), lambda a, x: a + x["nodes"]).alias("nodes"))
+    path = place(spark)
+    writers.export_stats(own_stats(spark, sf), path)
+    return spark.read.json(path).select("grp", F.size("stats").alias("depths"), F.aggregate("stats", F.lit(0).cast("long"), lambda a, x: a + x["nodes"]).alias("nodes"))
