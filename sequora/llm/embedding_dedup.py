@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import components, materialize, ship
 
@@ -100,10 +101,12 @@ def embedding_components(
 
     Vectors that are null, empty, zero or hold a null or non-finite component link with nothing,
     and vectors of different lengths do not link. ``component_id`` is the least id reachable,
-    ``kept`` is true for it. Repeated rows are vectors of their own; an empty table gives an empty one; other columns
+    ``kept`` is true for it. Ids are whole numbers; another type is refused with a ``TypeError``. Repeated rows are vectors of their own; an empty table gives an empty one; other columns
     are left out. Blocks hold ``block_bytes`` of vectors; where that gives few blocks there are eight, of 256 vectors or more, so
     that small tables are shared out too.
     """
+    if not isinstance(vectors.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"embedding_components: ids must be whole numbers; {id_col} is {vectors.schema[id_col].dataType.simpleString()}")
     ship(vectors.sparkSession)
     v = F.col(vector_col)
     big = float("inf")
