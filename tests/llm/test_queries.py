@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 import public_tokenizers
-from sequora.llm import bpe_codec, language_id, quality_model
+from sequora.llm import bpe_codec, embedding_dedup, language_id, quality_model, suffix_dedup
 from sequora.llm.queries import ORACLE_SQL, QUERIES
 
 from . import brute
@@ -139,3 +139,15 @@ def test_no_hidden_bounds(spark):
     with pytest.warns(UserWarning, match="share 400 characters"):
         got = language_id.sample_texts(rows, "lang", "text", 4, 100, total_chars=400)
     assert len(got) == 8 and max(map(len, got.values())) == 50
+
+
+def test_ids_of_dedup(spark):
+    """The largest id comes back as it is beside null ones, and ids that aren't numbers are refused by name."""
+    text = prose(5, 40)
+    rows = spark.createDataFrame([(2**63 - 1, text), (None, text), (3, "x"), (-(2**63), text[:80])], "doc_id long, text string")
+    got = rows_of(suffix_dedup.remove_repeats(rows), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == sorted(brute.removed([(-(2**63), text[:80]), (3, "x"), (2**63 - 1, text), (None, text)])[:3] + [(None, *brute.removed([(-(2**63), text[:80]), (None, text)])[1][1:])], key=repr)
+    with pytest.raises(TypeError, match="whole numbers"):
+        suffix_dedup.remove_repeats(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+    with pytest.raises(TypeError, match="whole numbers"):
+        embedding_dedup.embedding_components(spark.createDataFrame([("a", [1.0])], "vec_id string, embedding array<double>"))
