@@ -1,9 +1,10 @@
 """Personal data: base patterns, and a skip-chain conditional random field that adds to them.
 
 The tokens of a document that hold a digit or ``@`` are the nodes of a field with the labels
-none, email, ip, card and phone. Neighbours are linked by chain potentials; equal tokens, and
-tokens with the same digits, anywhere in the document by skip potentials. Loopy message passing
-then makes the labels of such tokens agree, so that an item written again in a form that the base
+none, email, ip, card and phone; groups of digits with one space between them are one node if they have as many digits as a card or a phone.
+Neighbours are linked by chain potentials; equal nodes, nodes with the same digits, and nodes with the same last ten digits
+anywhere in the document by skip potentials. Loopy message passing
+then makes the labels of such nodes agree, so that an item written again in a form that the base
 patterns miss is found too. All weights are fitted together to base findings in a bounded sample of documents.
 """
 
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +29,14 @@ CARD = re.compile(r"[0-9]++(?:[ -][0-9]++)*+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
 TOKEN = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*")
+RUN = re.compile(r"(?<!\S)[+(]?[0-9][0-9().-]*+(?: \(?[0-9][0-9().-]*+)++")  # groups of digits, one space between them
 HINT = re.compile(r"[0-9@]")
 EDGE = "\"'.,;:!?<>[]{}*#$%&|="
 DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 MAIL_LIKE = re.compile(r"[^@]+@[^@]+\.[^@]+")
 
 WIDE, LABELS = 18, 5  # features of a node; none and the four kinds
+CERTAIN = 30  # what a base finding adds to its label's score
 Span = tuple[int, int, int]  # start, end, kind
 
 
@@ -64,15 +68,25 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found, key=lambda s: (s[0], s[2]))
 
 
+def _nodes(text: str) -> Iterator[Span]:
+    """Where nodes begin and end: runs of groups of digits that may be one number, else tokens."""
+    at = 0
+    for m in RUN.finditer(text):
+        if 10 <= sum(map(str.isdecimal, m[0])) <= 19:
+            yield from (t.span() for t in TOKEN.finditer(text, at, m.start()))
+            at = m.end()
+            yield m.span()
+    yield from (t.span() for t in TOKEN.finditer(text, at))
+
+
 class Nodes:
     """The nodes of a text: places, features, the base's labels (0: none), and chain and skip links."""
 
     def __init__(self, text: str, base: list[Span]) -> None:
         places, rows, labels, ids = array("q"), bytearray(), bytearray(), array("q")
         k = 0
-        for m in TOKEN.finditer(text):
-            lo, hi = m.span()
-            core = m[0].strip(EDGE)
+        for lo, hi in _nodes(text):
+            core = text[lo:hi].strip(EDGE)
             digits = NOT_DIGIT.sub("", core)
             n = len(digits)
             while k < len(base) and base[k][1] <= lo:
@@ -86,22 +100,26 @@ class Nodes:
             )
             places.extend((lo, hi))
             labels.append(label)
-            # Two keys of each node for skip links; short ones link with nothing (no hash is -1).
+            # Three keys of each node for skip links; short ones link with nothing (no hash is -1).
             ids.append(hash(core.lower()) if len(core) >= 4 else -1)
             ids.append(hash(digits) if n >= 7 else -1)
+            ids.append(hash(digits[-10:]) if 10 <= n <= 15 else -1)
         self.places = np.frombuffer(places, np.int64).reshape(-1, 2)
         self.x = np.frombuffer(bytes(rows), np.uint8).reshape(-1, WIDE)
         self.y = np.frombuffer(bytes(labels), np.uint8).astype(np.int64)
         near = np.flatnonzero(self.places[1:, 0] - self.places[:-1, 1] <= 2)
         self.chain = np.stack([near, near + 1], axis=1).astype(np.int32)
-        ids = np.frombuffer(ids, np.int64).reshape(-1, 2)
+        ids = np.frombuffer(ids, np.int64).reshape(-1, 3)
         pairs = []
-        for column in (ids[:, 0], ids[:, 1]):
-            order = np.argsort(column, kind="stable").astype(np.int32)
+        for column in ids.T:
+            # A key's nodes are all linked to one of them, a base finding if there is any: one link a node, and no finding is far.
+            order = np.lexsort((self.y == 0, column)).astype(np.int32)
             order = order[column[order] != -1]
-            same = np.flatnonzero(column[order[1:]] == column[order[:-1]])
-            pairs.append(order[same].astype(np.int64) << 32 | order[same + 1])
-        both = np.unique(np.concatenate(pairs))  # a pair with both keys in common is linked once
+            first = np.flatnonzero(np.r_[True, column[order[1:]] != column[order[:-1]]][: len(order)])
+            hub = np.repeat(order[first], np.diff(np.r_[first, len(order)]))
+            low, high = np.minimum(hub, order), np.maximum(hub, order)
+            pairs.append((low.astype(np.int64) << 32 | high)[low < high])
+        both = np.unique(np.concatenate(pairs))  # a pair with several keys in common is linked once
         self.skip = np.stack([both >> 32, both & 0xFFFFFFFF], axis=1).astype(np.int32)
 
     def __len__(self) -> int:
@@ -113,14 +131,20 @@ class Field:
 
     A node's label is predicted from its features and the labels of its neighbours in the chain and by
     skip links, so all three sets of weights share one convex loss. Each node counts twice: with what the base
-    says of it and without, so the field also learns to do without the base's findings.
+    says of it and without, so the field also learns to do without the base's findings. A node that the base misses has the label of the finding that it is linked to, if there is one.
     """
 
     def __init__(self, texts: list[str], steps: int = 400) -> None:
         xs, ys, lefts, rights, skips = ([np.zeros((0, w))] for w in (WIDE, LABELS, LABELS, LABELS, LABELS))
         for text in texts:
             nodes = Nodes(text, base_spans(text))
-            one = np.eye(LABELS)[nodes.y]
+            # What is linked to a finding is taken for the same item, also in a form that the base misses.
+            labels = nodes.y.copy()
+            for i, j in ((0, 1), (1, 0)):
+                near = nodes.skip[nodes.y[nodes.skip[:, j]] > 0]
+                same = near[nodes.y[near[:, i]] == 0]
+                labels[same[:, i]] = nodes.y[same[:, j]]
+            one = np.eye(LABELS)[labels]
             around = [np.zeros((len(nodes), LABELS)) for _ in range(3)]
             np.add.at(around[0], nodes.chain[:, 1], one[nodes.chain[:, 0]])
             np.add.at(around[1], nodes.chain[:, 0], one[nodes.chain[:, 1]])
@@ -132,7 +156,7 @@ class Field:
         blind = x.copy()
         blind[:, -4:] = 0
         x, y, left, right, skip = (np.concatenate(p) for p in ((x, blind), (y, y), (left, left), (right, right), (skip, skip)))
-        self.node, self.chain, self.skip = np.zeros((WIDE, LABELS)), np.zeros((LABELS, LABELS)), 3 * np.eye(LABELS)
+        self.node, self.chain, self.skip = np.zeros((WIDE, LABELS)), np.zeros((LABELS, LABELS)), 8 * np.eye(LABELS)
         self.node[-4:, 1:] = 4 * np.eye(4)
         start = [w.copy() for w in (self.node, self.chain, self.skip)]
         mean, square = [np.zeros_like(w) for w in start], [np.zeros_like(w) for w in start]
@@ -148,11 +172,12 @@ class Field:
                 w -= 0.05 * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-8)
 
     def marginals(self, nodes: Nodes, rounds: int = 10, part: int = 65_536) -> np.ndarray:
-        """Label probabilities of each node by loopy sum-product messages, damped by half.
+        """Label probabilities of each node by loopy sum-product messages, damped by half. Base findings are given.
 
         Two messages of five numbers a link, sent in parts of a bounded size: memory is linear in the text.
         """
         score = nodes.x.astype(np.float32) @ self.node.astype(np.float32)
+        score[nodes.y > 0, nodes.y[nodes.y > 0]] += CERTAIN
         kinds = [(pairs, np.exp(np.clip(table, -20, 20)).astype(np.float32)) for pairs, table in ((nodes.chain, self.chain), (nodes.skip, self.skip)) if len(pairs)]
         sent = [np.zeros((2, len(pairs), LABELS), np.float32) for pairs, _ in kinds]  # forth and back along each link
 
@@ -192,7 +217,7 @@ class Field:
             if i <= last:
                 continue
             last = i
-            while last + 1 < len(label) and label[last + 1] == label[i] and nodes.places[last + 1, 0] - nodes.places[last, 1] <= 1:
+            while last + 1 < len(label) and label[last + 1] == label[i] and nodes.places[last + 1, 0] - nodes.places[last, 1] <= 1 and text[nodes.places[last, 1] - 1] not in EDGE:
                 last += 1
             lo = int(nodes.places[i, 0])
             raw = text[lo : int(nodes.places[last, 1])]
