@@ -68,6 +68,7 @@ def labelled(nodes: DataFrame, **values: Column) -> DataFrame:
     """
     names = ["leaves", *values]
     own = nodes.withColumns({f"_v{k}": F.coalesce(v.cast("long"), F.lit(0)) for k, v in enumerate(values.values())})
+    own = materialize(own)  # ranges are found by a job of their own, which would make the nodes a second time
     placed = materialize(own.repartitionByRange("path").sortWithinPartitions("path").withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
     n, sums = len(values), [f"v{k}" for k in range(len(names))]
     schema = "kind int, piece long, at long, depth int, upto long" + "".join(f", {v} long" for v in sums)

@@ -81,6 +81,7 @@ def node_ids(nodes: DataFrame, order: str = "preorder") -> DataFrame:
     it; no task sees more than its partition.
     """
     keys = ["path"] if order == "preorder" else ["depth", "path"]
+    nodes = materialize(nodes)  # ranges are found by a job of their own, which would make the nodes a second time
     sorted_rows = nodes.repartitionByRange(*keys).sortWithinPartitions(*keys)
     placed = materialize(sorted_rows.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
     sizes = placed.groupBy("_part").agg(F.count("*").alias("size"), F.min("_at").alias("first"))
