@@ -84,7 +84,12 @@ def stats_of(stats: DataFrame, wanted: list[str] | None) -> DataFrame:
 
 
 def ad_hoc(tables: dict[str, DataFrame], sql: str) -> DataFrame:
-    """Run SQL over result tables, named in the statement."""
+    """Run SQL over result tables, named in the statement. The names go again once the statement is resolved; a view of the session with such a name goes too."""
+    spark = next(iter(tables.values())).sparkSession
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
-    return next(iter(tables.values())).sparkSession.sql(sql)
+    try:
+        return spark.sql(sql)
+    finally:
+        for name in tables:
+            spark.catalog.dropTempView(name)

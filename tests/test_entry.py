@@ -12,7 +12,9 @@ import pytest
 import __spark_entry__ as entry
 
 DATA = "/root/testdata/sf0.001"
-SAMPLE = ["tri13_depth_stats", "tri07_entropy", "ngr3_transition_matrix", "out1_size_report", "val2_report", "min4_similarity", "flt1_valid_facts", "flt6_parents", "val1_validate", "src4_read_inventory", "snk1_reload_group", "snk7_compact_nodes", "snk9_report_csv", "out3_new_motifs"]
+SAMPLE = ["tri13_depth_stats", "tri07_entropy", "ngr3_transition_matrix", "out1_size_report", "val2_report", "min4_similarity", "flt1_valid_facts", "flt6_parents", "val1_validate", "src4_read_inventory", "snk1_reload_group", "snk7_compact_nodes", "snk9_report_csv", "out3_new_motifs",
+    "out4_reuse_values", "tri01_keyed_counts", "tri01_user_histories", "tri09_subtree_weights", "tri21_leaf_counts", "flt4_stored_pages", "flt8_indexed_inside", "tri01_reloaded_counts", "src1_lexicon_to_json", "tok1_decorated",
+]
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 
 
