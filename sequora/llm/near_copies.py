@@ -1,12 +1,13 @@
 """Links between texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-At that similarity fingerprints of 64 bits differ in some ten bits, too many for Hamming balls (see the
-README), so the near-duplicate stage of the pipeline finds its links by the shingles themselves. No link is
+SimHash comes first: fingerprints of the shingles are linked by the Hamming balls of ``simhash_dedup``, and texts
+that these links join are candidates. At that similarity fingerprints of 64 bits often differ in some ten bits, too many for Hamming balls (see the
+README), so links between groups of fingerprints are looked for by the shingles themselves. No link is
 missed: of two such sets with a and b shingles 9 * common >= 4 * (a + b), so both have one
 of their first fifths (and one shingle) in common, in any order that all texts share. The order puts
 shingles last that a sample of the texts has often; the sample changes the cost, not the result.
-Texts that share such a key are compared by what can only overstate the common shingles: what is
-left after the key, and bitmaps of the sets. The links that pass give components, and within these all
+Texts of different groups that share such a key are compared by what can only overstate the common shingles: what is
+left after the key, and bitmaps of the sets. The links of both kinds give components, and within these all
 sets are compared in full. Keys and components that many texts share are dealt out in tiles.
 """
 
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SlotFilter, components, map_texts, materialize, ship, texts_of
-from .simhash_dedup import forest, groups, keep_one
+from .simhash_dedup import fingerprints, forest, groups, keep_one
 from .xxh import xxh64
 
 WIDTH, TILE, BITS = 5, 256, 1024
@@ -99,14 +100,14 @@ def _folded(bits: bytes, size: int) -> np.ndarray:
 
 
 def add_signatures(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, with_sets: bool = False) -> DataFrame:
-    """Add ``fp``, a hash of the set of shingles; also the set's size ``n`` and bitmap ``bits`` if asked for."""
+    """Add ``fp``, a hash of the set of shingles; also the set's size ``n`` and bitmap ``bits`` and the text's SimHash ``print`` if asked for."""
 
     def run(texts: list[str]) -> list[pa.Array]:
         sets = shingle_sets(texts)
-        more = [pa.array([*map(len, sets)], pa.int64()), pa.array([*map(_bitmap, sets)], pa.binary())] if with_sets else []
+        more = [pa.array([*map(len, sets)], pa.int64()), pa.array([*map(_bitmap, sets)], pa.binary()), pa.array(fingerprints(texts, WIDTH), pa.int64())] if with_sets else []
         return [pa.array(_signatures(sets), pa.int64()), *more]
 
-    return map_texts(docs, run, "fp long" + ", n long, bits binary" * with_sets, text_col, keep)
+    return map_texts(docs, run, "fp long" + ", n long, bits binary, print long" * with_sets, text_col, keep)
 
 
 def _six(s: np.ndarray) -> bytes:
@@ -196,8 +197,8 @@ def _possible(rows: pa.Table, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np
 
 
 def _candidates(rows: pa.Table, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of one tile whose bitmaps allow that they are similar."""
-    n, own = (rows.column(c).to_numpy() for c in ("n", "own"))
+    """Pairs of rows of one tile that are of different groups of fingerprints and whose bitmaps allow that they are similar."""
+    n, own, low = (rows.column(c).to_numpy() for c in ("n", "own", "low"))
     bits = rows.column("bits").to_pylist()
     size = np.array([*map(len, bits)])
     folded = {}  # bitmaps at each size, of the rows that have this size or a larger one
@@ -208,7 +209,7 @@ def _candidates(rows: pa.Table, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     cross = rows.column("x").to_numpy() != rows.column("y").to_numpy()  # such a tile has the pairs between two blocks
     found_i, found_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for i, j, need in _possible(rows, ends):
-        some = ~(cross[i] & (own[i] == own[j]))
+        some = ~(cross[i] & (own[i] == own[j])) & (low[i] != low[j])
         i, j, need = i[some], j[some], need[some]
         least = np.minimum(size[i], size[j])
         for one, (place, table) in folded.items():
@@ -298,12 +299,20 @@ def _tiled(rows: DataFrame, key: str, pairs: Callable[[pa.Table, np.ndarray], tu
     return tiles.repartition(key, "x", "y").sortWithinPartitions(key, "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
+def print_groups(signed: DataFrame) -> DataFrame:
+    """``(fp, low)``: the sets of each group of linked SimHash fingerprints with the least of them; a set of several fingerprints has a row each."""
+    own = materialize(signed.select("fp", "print").distinct())
+    found = groups(own.select(F.col("fp").alias("set"), F.col("print").alias("fp")), "set").select(F.col("fp").alias("print"), F.col("component_id").alias("low"))
+    return materialize(own.join(found, "print").select("fp", "low").distinct())
+
+
 def links(docs: DataFrame, signed: DataFrame, text_col: str = "text") -> DataFrame:
     """``(a, b)``: links between sets (``fp``) whose transitive closure is that of all links.
 
-    ``signed`` has ``fp``, ``n`` and ``bits`` of all rows of ``docs``.
+    ``signed`` has ``fp``, ``n``, ``bits`` and ``print`` of all rows of ``docs``.
     """
     ship(docs.sparkSession)
+    near = print_groups(signed)
     often, count = _frequent(docs, text_col, signed.count())
 
     def keys(sets: list[np.ndarray]) -> pa.RecordBatch:
@@ -326,15 +335,16 @@ def links(docs: DataFrame, signed: DataFrame, text_col: str = "text") -> DataFra
 
     keyed = _of_texts(docs, text_col, shared_keys, schema)
     members = materialize(keyed.join(shared, "key").groupBy("key", "fp", "n", "hot").agg(F.min("at").alias("at")))  # copies of a text are one row
-    sizes = materialize(signed.groupBy("fp").agg(F.min("n").alias("n"), F.min("bits").alias("bits")))
+    lows = near.groupBy("fp").agg(F.min("low").alias("low"))  # sets of one ``low`` are candidates already
+    sizes = materialize(signed.groupBy("fp").agg(F.min("n").alias("n"), F.min("bits").alias("bits")).join(lows, "fp"))
     # A key of few texts gives its pairs, a bounded number a row; one of many is dealt in tiles, which give forests.
     few = members.where("NOT hot").select("key", "fp", "at", "n")
     pairs = materialize(few.repartition("key").sortWithinPartitions("key").mapInArrow(_pairs, "a long, b long").distinct())
-    side = lambda k: sizes.select(F.col("fp").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}"))
-    few = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(_allowed, "a long, b long")
+    side = lambda k: sizes.select(F.col("fp").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}"), F.col("low").alias(f"low{k}"))
+    few = pairs.join(side("a"), "a").join(side("b"), "b").where("lowa <> lowb").select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(_allowed, "a long, b long")
     hot = members.where("hot").select("key", "fp", "at")
     many = _tiled(hot.join(_blocks(hot, "key"), "key").join(sizes, "fp"), "key", _candidates)
-    found = materialize(few.union(many))
+    found = materialize(few.union(many).union(near.where("fp <> low").select("fp", "low")))
     comp = components(found)
     comp = comp.select(F.col("node").alias("fp"), "root").union(comp.select("root", "root")).distinct()
     comp = materialize(comp.join(sizes.select("fp", "n"), "fp"))

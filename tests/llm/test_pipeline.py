@@ -44,3 +44,19 @@ def test_clashing_columns_and_empty_tables(spark, docs):
     out = run(spark, wide, 4)
     assert out.columns == wide.columns and out.where(" OR ".join(f"{c} <> 'mine'" for c in names)).count() == 0
     assert run(spark, docs.limit(0), 5).count() == 0
+
+
+def test_fingerprints_give_candidates(spark, monkeypatch):
+    from sequora.llm import near_copies
+
+    base = [f"{prose(i, 300)} end{i}" for i in range(6)]
+    texts = base + [t + " one more" for t in base]
+    rows = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], DOCS)
+    kept = lambda: sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, rows, None).collect())
+    whole = kept()
+    assert whole == [*range(6)]
+    monkeypatch.setattr(near_copies, "prefixes", lambda sets, often, count: [s[:0] for s in sets])  # shared shingles find nothing
+    signed = near_copies.add_signatures(rows, with_sets=True)
+    assert near_copies.print_groups(signed).where("fp <> low").count() > 0
+    found = kept()
+    assert len(found) < len(texts) and set(whole) <= set(found)
