@@ -103,15 +103,21 @@ def prefix_sharing(seqs: DataFrame, depths: tuple[int, ...] = (1, 2, 3), k: int
 
 
 def summary_counts(seqs: DataFrame) -> DataFrame:
-    """One row: sequences, distinct tokens, bigrams, trigrams, first and last tokens."""
-    full = seqs.where(F.size("tokens") > 0)
-    one = lambda df, name: df.agg(F.count("*").alias(name))
-    ends = edge_tokens(seqs)
-    return (
-        seqs.agg(F.sum(_n(seqs)).cast("long").alias("sequences"))
-        .join(one(full.select(F.explode("tokens").alias("t")).distinct(), "inventory"))
-        .join(one(sliding(seqs, 2), "bigrams")).join(one(sliding(seqs, 3), "trigrams"))
-        .join(ends.agg(F.count_if(F.col("place") == "first").alias("onsets"), F.count_if(F.col("place") == "last").alias("codas")))
+    """One row: sequences, distinct tokens, bigrams, trigrams, first and last tokens.
+
+    One pass: each place of a sequence gives its n-grams, and an empty sequence gives one row without a gram.
+    """
+    size = F.size("tokens")
+    places = seqs.select("tokens", _n(seqs).alias("n"), F.explode(F.sequence(F.lit(1), F.greatest(size, F.lit(1)))).alias("i"))
+    rows = places.select("tokens", "n", "i", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("k")).where((F.col("k") == 1) | (F.col("i") + F.col("k") - 1 <= size))
+    starts = F.when((F.col("k") == 1) & (F.col("i") == 1), F.col("n"))
+    grams = rows.groupBy("k", F.slice("tokens", F.col("i"), F.col("k")).alias("seq")).agg(
+        F.sum(starts).alias("n"), F.max(F.col("i") == 1).alias("first"), F.max(F.col("i") == size).alias("last")
+    ).withColumn("there", F.size("seq") == F.col("k"))
+    of = lambda k: F.col("there") & (F.col("k") == k)
+    return grams.agg(
+        F.sum("n").cast("long").alias("sequences"), F.count_if(of(1)).alias("inventory"), F.count_if(of(2)).alias("bigrams"), F.count_if(of(3)).alias("trigrams"),
+        F.count_if(of(1) & F.col("first")).alias("onsets"), F.count_if(of(1) & F.col("last")).alias("codas"),
     )
 
 
