@@ -55,7 +55,7 @@ def _grams(token: Column, n: int) -> Column:
 
 def write_index(nodes: DataFrame, path: str) -> None:
     """Store a node table for ``search``; the root isn't found by it."""
-    rows = nodes.where("depth > 0").withColumn("slot", _slot("token"))
+    rows = materialize(nodes.where("depth > 0").withColumn("slot", _slot("token")))  # three tables are made of them
     tokens = rows.groupBy("token", "slot").agg(F.count("*").alias("n"))
     every = F.concat(*[_grams(F.col("token"), n) for n in range(1, GRAM + 1)])
     grams = tokens.select("token", F.explode(every).alias("gram")).withColumn("slot", _slot("gram"))

@@ -1,6 +1,15 @@
 """Steps whose cost grew faster than it need: what is read or made once, and the results."""
 
-from sequora.operators import ngrams
+from pyspark.sql import functions as F
 
+from sequora.operators import ngrams, stored_nodes, trie
 
 
+def test_summary_is_one_pass(spark, tmp_path):
+    rows = [("a", list("abca"), 2), ("b", list("abca"), 1), ("a", [], 5), ("a", None, 7), ("a", ["b", None], 1), ("b", ["z"], 1)]
+    spark.createDataFrame(rows, "grp string, tokens array<string>, n long").write.parquet(str(tmp_path / "t"))
+    seqs = spark.read.parquet(str(tmp_path / "t"))
+    got = ngrams.summary_counts(seqs)
+    assert tuple(got.first()) == (17, 5, 4, 2, 3, 3)
+    assert got._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert tuple(ngrams.summary_counts(seqs.limit(0)).first()) == (None, 0, 0, 0, 0, 0)
