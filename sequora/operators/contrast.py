@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import add
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dims import SOUND_CLASSES
+from ..functions.scratch import materialize
 from .paths import token_hash
 
+MOST_BITS = 512  # tokens of an inventory whose sets are kept as bits
+
 
 def templates(seqs: DataFrame) -> DataFrame:
     """``(grp, before, after, token)``: each position of each distinct sequence blanked, with the token that fills it.
@@ -35,9 +41,29 @@ def blank_keys(seqs: DataFrame) -> DataFrame:
 def contrasting_pairs(blanks: DataFrame) -> DataFrame:
     """``(grp, a, b)``: tokens a < b that fill one blank, of ``templates`` or ``blank_keys``.
 
-    A blank's fillers are a set of inventory tokens, so the pairs of a blank are bounded by the inventory.
+    A blank's fillers are a set of inventory tokens, so the pairs of a blank are bounded by the inventory. An inventory of up to ``MOST_BITS``
+    tokens is numbered, and a set is bits of a few integers, which combine in place; larger ones are collected.
     """
-    sets = blanks.groupBy(*[c for c in blanks.columns if c != "token"]).agg(F.array_sort(F.collect_set("token")).alias("s")).where(F.size("s") > 1).select("grp", "s").distinct()
+    keys = [c for c in blanks.columns if c != "token"]
+    tokens = blanks.select("token").where("token IS NOT NULL").distinct()
+    numbered = materialize(tokens.withColumn("id", F.row_number().over(Window.orderBy("token")) - 1))  # a row a token
+    size = numbered.count()
+    if size > MOST_BITS:
+        sets = blanks.groupBy(*keys).agg(F.array_sort(F.collect_set("token")).alias("s")).where(F.size("s") > 1).select("grp", "s").distinct()
+        return _pairs_of(sets)
+    words = range(0, max(size, 1), 64)
+    bit = lambda w: F.when(F.col("id").between(w, w + 63), F.expr(f"shiftleft(1L, id - {w})")).otherwise(F.lit(0).cast("long"))
+    sets = blanks.join(numbered, "token").groupBy(*keys).agg(*[F.bit_or(bit(w)).alias(f"b{w}") for w in words])
+    sets = sets.where(reduce(add, [F.bit_count(f"b{w}") for w in words]) > 1).select("grp", *[f"b{w}" for w in words]).distinct()
+    some = lambda w: F.filter(F.sequence(F.lit(w), F.lit(min(w + 64, size) - 1)), lambda i: F.getbit(f"b{w}", i - w) == 1)
+    ids = [some(w) for w in words if size]
+    pairs = _pairs_of(sets.select("grp", (F.concat(*ids) if ids else F.array().cast("array<int>")).alias("s")))
+    names = lambda c: numbered.select(F.col("token").alias(c), F.col("id").alias(f"_{c}"))
+    return pairs.toDF("grp", "_a", "_b").join(names("a"), "_a").join(names("b"), "_b").select("grp", "a", "b")
+
+
+def _pairs_of(sets: DataFrame) -> DataFrame:
+    """The pairs of the sorted sets ``s``."""
     pairs = F.flatten(F.transform("s", lambda x, i: F.transform(F.slice("s", i + 2, F.size("s")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     return sets.select("grp", F.explode(pairs).alias("p")).select("grp", "p.a", "p.b").distinct()
 

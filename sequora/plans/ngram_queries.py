@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.dims import SOUND_CLASSES
+from ..functions.scratch import materialize
 from ..operators import contrast as C
 from ..operators import ngrams as N
 from . import fixtures as fx
@@ -133,7 +134,7 @@ SIM = f"{COMPL}, sim AS (SELECT *, CASE WHEN substr(a, 1, 1) = substr(b, 1, 1) T
 
 
 def complementary(spark, sf):
-    seqs = fx.lexicon(spark, sf)
+    seqs = materialize(fx.lexicon(spark, sf))
     return C.complementary_pairs(seqs, C.contrasting_pairs(C.blank_keys(seqs)))
 
 
@@ -144,7 +145,7 @@ def _(spark, sf):
 
 @query("min2_contrasting_pairs", f"WITH {PAIRS} SELECT * FROM con")
 def _(spark, sf):
-    return C.contrasting_pairs(C.blank_keys(fx.lexicon(spark, sf)))
+    return C.contrasting_pairs(C.blank_keys(materialize(fx.lexicon(spark, sf))))
 
 
 @query("min3_complementary_pairs", f"WITH {COMPL} SELECT * FROM com")
