@@ -53,7 +53,12 @@ def surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(grp, token, marginal)``: letters that make up half a percent of their group's letters or more."""
-    rows = lexicon(spark, sf_dir).select("grp", "n", F.explode("tokens").alias("token")).groupBy("grp", "token").agg(F.sum("n").alias("c"))
+    return inventory_of(lexicon(spark, sf_dir))
+
+
+def inventory_of(words: DataFrame) -> DataFrame:
+    """The same of a lexicon."""
+    rows = words.select("grp", "n", F.explode("tokens").alias("token")).groupBy("grp", "token").agg(F.sum("n").alias("c"))
     total = rows.groupBy("grp").agg(F.sum("c").alias("all"))
     return rows.join(total, "grp").where(200 * F.col("c") >= F.col("all")).select("grp", "token", F.lit(False).alias("marginal"))
 

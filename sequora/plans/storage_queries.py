@@ -55,7 +55,7 @@ def _(spark, sf):
 
 @query("src7_read_export", f"WITH {NODES} SELECT path, depth::BIGINT AS depth, total FROM kept")
 def _(spark, sf):
-    path, kept = place(spark), nodes(spark, sf)
+    path, kept = place(spark), materialize(nodes(spark, sf))  # nodes, edges and metadata are made of them
     writers.export_trie(kept, T.edges(kept), T.metadata(kept), path)
     rows = readers.read_export(spark, path)["nodes"]  # the root's empty path was left out
     return rows.select(F.coalesce(F.array_join("path", ""), F.lit("")).alias("path"), "depth", "total")
@@ -113,7 +113,7 @@ def _(spark, sf):
 
 @query("snk6_export_edges", f"WITH {NODES} SELECT parent AS source, path AS target, token FROM kept WHERE depth > 0")
 def _(spark, sf):
-    path, kept = place(spark), nodes(spark, sf)
+    path, kept = place(spark), materialize(nodes(spark, sf))  # nodes, edges and metadata are made of them
     writers.export_trie(kept, T.edges(kept), T.metadata(kept), path)
     rows = readers.read_export(spark, path)["edges"]
     return rows.select(F.coalesce(F.array_join("source", ""), F.lit("")).alias("source"), F.array_join("target", "").alias("target"), "token")
@@ -165,8 +165,8 @@ def _(spark, sf):
     parsed = reduce(DataFrame.union, [readers.read_lexicon(spark, f"{text}/grp={g}").select(F.lit(g).alias("grp"), F.col("word").alias("key"), "transcription") for g in groups(words)])
     tokens = prep.normalized(prep.tokenize(F.col("transcription")), prep.map_of({}, F.col("grp")))
     seqs = parsed.withColumn("tokens", tokens).join(words.select("grp", "key", "n"), ["grp", "key"])
-    valid = prep.validate(seqs, fx.inventory(spark, sf)).where("valid AND size(tokens) > 0")
-    kept = T.prune(T.prefix_nodes(T.prefix_counts(valid)), 3)
+    valid = prep.validate(seqs, fx.inventory_of(words)).where("valid AND size(tokens) > 0")
+    kept = materialize(T.prune(T.prefix_nodes(T.prefix_counts(valid)), 3))  # nodes, edges and metadata are made of them
     writers.export_trie(kept, T.edges(kept), T.metadata(kept), out)
     rows = readers.read_export(spark, out)["nodes"]
     return rows.select(F.coalesce(F.array_join("path", ""), F.lit("")).alias("path"), "depth", "total", "terminal")
