@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.prep import map_of, normalized_pairs, tokenize
+from . import digests
+
+WHOLE = 128 << 20  # bytes of a file that is hashed as one row
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -58,13 +61,26 @@ def route_by_name(rows: DataFrame, prefixes: DataFrame) -> DataFrame:
     return rows.withColumn("prefix", prefix).join(prefixes, "prefix").drop("prefix")
 
 
-def checksums(spark: SparkSession, path: str, manifest: DataFrame | None = None) -> DataFrame:
+def checksums(spark: SparkSession, path: str, manifest: DataFrame | None = None, whole: int = WHOLE, step: int = digests.STEP) -> DataFrame:
     """``(file, sha256)`` of each file, and with ``manifest(file, expected)`` whether it is as expected.
 
-    A file is one row, so it may have 2 GB at most; larger tables should be kept as several part files.
+    A file of at most ``whole`` bytes is one row; larger ones are read in splits and hashed in steps, whatever their size. Packed files
+    (``.gz``) over that, and all files where Python's OpenSSL doesn't show its functions, are rows as well, and may have 2 GB at most.
     """
-    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"))
-    return files if manifest is None else files.join(manifest, "file").withColumn("ok", F.col("sha256") == F.lower("expected"))
+    files = spark.read.format("binaryFile").load(path).withColumn("_path", F.col("_metadata.file_path"))
+    large = {r._path: r.length for r in files.where(F.col("length") > whole).select("_path", "length").collect()}  # names only
+    if large:
+        jvm = spark.sparkContext._jvm
+        codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(spark.sparkContext._jsc.hadoopConfiguration())
+        large = {p: n for p, n in large.items() if codecs.getCodec(jvm.org.apache.hadoop.fs.Path(p)) is None} if digests.resumable() else {}
+    name = lambda p: F.element_at(F.split(p, "/"), -1).alias("file")
+    rows = files.where(~F.col("_metadata.file_path").isin(list(large))) if large else files
+    rows = rows.select(name("path"), F.sha2("content", 256).alias("sha256"))
+    if large:
+        names = files.where(F.col("length") > whole).select("_path", name("path"))
+        found = digests.stepwise(spark, path, large, step)
+        rows = rows.unionByName(found.join(names, found["path"] == names["_path"]).select("file", "sha256"))
+    return rows if manifest is None else rows.join(manifest, "file").withColumn("ok", F.col("sha256") == F.lower("expected"))
 
 
 def read_export(spark: SparkSession, path: str) -> dict[str, DataFrame]:

@@ -1,6 +1,8 @@
 """Readers, writers and the stream."""
 
+import gzip
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
@@ -40,6 +42,25 @@ def test_checksums(spark, tmp_path):
     assert readers.checksums(spark, str(tmp_path / "a.bin"), manifest).first().ok
 
 
+def test_checksums_of_large_files(spark, tmp_path):
+    """Files over the bound are read in splits and hashed in steps; their bytes come through as they are."""
+    rng, bom = random.Random(3), b"\xef\xbb\xbf"
+    noise = bytes(rng.choices(range(256), k=40_000))
+    cases = {
+        "noise": noise, "ended": noise + b"\n", "marked": bom + noise, "marked and ended": bom + b"a\r\n" * 9000 + b"\n\n", "newlines": b"\n" * 20_000,
+        "zeros": bytes(70_000), "long.parquet": b"x" * 30_000 + b"\n" + noise, "packed.gz": gzip.compress(noise), "edge": b"e" * 1000, "more": b"e" * 1001, "small": b"s",
+        "a b%20é": noise[:9000],
+    }
+    for name, content in cases.items():
+        (tmp_path / name).write_bytes(content)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        got = readers.checksums(spark, str(tmp_path), whole=1000, step=10_000)
+        assert sorted(map(tuple, got.collect())) == sorted((k, hashlib.sha256(v).hexdigest()) for k, v in cases.items())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_reload_insert_and_replace(spark, tmp_path):
     facts, dim = str(tmp_path / "facts"), str(tmp_path / "dim")
     rows = lambda *x: spark.createDataFrame(list(x), "grp string, v int")
