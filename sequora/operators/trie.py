@@ -35,13 +35,15 @@ def prefix_counts(seqs: DataFrame, max_depth: int | None = None, skip_empty: boo
     whole = seqs.groupBy("grp", "tokens").agg(F.sum(n).alias("n"))
     if skip_empty:
         whole = whole.where(F.size("tokens") > 0)
+    return prefix_rows(whole, max_depth).groupBy("path", "depth", "grp").agg(F.sum("cnt").cast("long").alias("cnt"), F.sum("term").cast("long").alias("term"))
+
+
+def prefix_rows(seqs: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """The prefixes of ``seqs(grp, tokens, n)``, one row for each sequence and depth: what ``prefix_counts`` sums."""
     size = F.size("tokens")
     deepest = size if max_depth is None else F.least(size, F.lit(max_depth))
-    rows = whole.select("grp", "tokens", "n", F.explode(F.sequence(F.lit(0), deepest)).alias("depth"))
-    return (
-        rows.groupBy(F.slice("tokens", 1, F.col("depth")).alias("path"), "depth", "grp")
-        .agg(F.sum("n").cast("long").alias("cnt"), F.sum(F.when(F.col("depth") == size, F.col("n")).otherwise(0)).cast("long").alias("term"))
-    )
+    rows = seqs.select("grp", "tokens", "n", F.explode(F.sequence(F.lit(0), deepest)).alias("depth"))
+    return rows.select(F.slice("tokens", 1, F.col("depth")).alias("path"), "depth", "grp", F.col("n").alias("cnt"), F.when(F.col("depth") == size, F.col("n")).otherwise(0).alias("term"))
 
 
 def prefix_nodes(counts: DataFrame) -> DataFrame:
