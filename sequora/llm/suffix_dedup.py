@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -30,6 +31,8 @@ from .common import materialize, ship, texts_of
 from .xxh import xxh64
 
 WIDTH, GRAM, KEY, SHALLOW = 50, 16, 32, 32
+REST = 31  # bits of a key that its bucket's rows hold
+SET, ROW = 8, 2048  # chunks that share rows: so many at most, and so many that a row is of that many bytes of text
 FEW = 64  # pieces of a key in a chunk that count as one
 MASKS, STRINGS, HOT = range(3)  # what a chunk gets back: places in pieces, single strings, the keys whose pieces are split
 LAST = np.iinfo(np.int64).max  # what a null id counts as
@@ -96,7 +99,7 @@ def _pack(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int) -> Data
                 blobs = [t.encode() for t in texts]
                 sizes = np.fromiter(map(len, blobs), np.int64, len(blobs))
                 own, gone = ids[start : start + len(texts)], none[start : start + len(texts)]
-                cid += 1
+                cid += max(1, int(sizes.sum()) // chunk_bytes)  # a long text takes more numbers, so a set of chunks is of bounded size
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([cid], pa.int64()), pa.array([int(sizes.sum())], pa.int64()), pa.array([own.tobytes()], pa.binary()),
@@ -114,6 +117,19 @@ def _unpack(ids: bytes, sizes: bytes, blob: bytes) -> tuple[np.ndarray, np.ndarr
     return np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.int64), zstandard.ZstdDecompressor().decompress(blob)
 
 
+def _opened(chunks: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, bytes, list[np.ndarray]]:
+    """Ids, lengths, bytes and pieces of a set of chunks as if it were one chunk; anchors are found a chunk at a time, which bounds the memory."""
+    texts, pieces, place, number = [], [], 0, 0
+    for packed in zip(chunks["ids"], chunks["sizes"], chunks["blob"]):
+        ids, sizes, data = _unpack(*packed)
+        h, at, first, last, text = anchors(data, sizes)
+        texts.append((ids, sizes, data))
+        pieces.append((h, at + place, first + place, last + place, text + number))
+        place, number = place + len(data), number + len(sizes)
+    ids, sizes, data = zip(*texts)
+    return np.concatenate(ids), np.concatenate(sizes), b"".join(data), [np.concatenate(x) for x in zip(*pieces)]
+
+
 def _grouped(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order in which equal keys are adjacent, and where each run of equals begins."""
     order = np.lexsort(keys[::-1])
@@ -131,57 +147,59 @@ def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(bucket[rows[0]]), rows
 
 
-def _short(h: np.ndarray) -> np.ndarray:
-    """The 47 bits of a key that stand for it."""
-    return h >> np.uint64(17)
+def _short(h: np.ndarray, buckets: int) -> np.ndarray:
+    """What stands for a key: its bucket, then ``REST`` bits.
+
+    Keys of one bucket are told apart by these bits alone, and a bucket is of ``bucket_bytes`` of text at any size of the table,
+    so 4 bytes do at any size; two keys that agree only make pieces travel in vain.
+    """
+    return h % np.uint64(buckets) << np.uint64(REST) | h >> np.uint64(64 - REST)
 
 
 def _hashes_of(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Each distinct key of a chunk in 6 bytes, its lowest bit set if two texts of the chunk have it.
+    """Each distinct key of a chunk by bucket, in 4 bytes, the lowest bit set if two texts of the chunk have it. Chunks of one set share their rows.
 
     A key with 64 pieces or more is sent once more for each 64, so that the number of rows tells how many pieces it has.
     """
-    for batch in batches:
-        for cid, _, *packed in zip(*(batch.column(i).to_pylist() for i in range(5))):
+    for cid, group in groupby((row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(5)))), key=lambda row: row[0]):
+        values, places = [], []
+        for _, _, *packed in group:
             ids, sizes, data = _unpack(*packed)
             h, _, _, _, text = anchors(data, sizes)
             order, begin = _grouped(h)
             low, high = (f.reduceat(ids[text[order]], begin) if len(begin) else ids[:0] for f in (np.minimum, np.maximum))
-            short, times = _short(h[order][begin]), 1 + np.diff(np.r_[begin, len(order)]) // FEW
-            value = np.repeat(short << np.uint64(1) | (low < high).astype(np.uint64), times)
-            bucket = np.repeat((short % np.uint64(buckets)).astype(np.int64), times)
-            rows = [(b, cid, _in_six(value[r])) for b, r in _by_bucket(bucket)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())],
-                names=["bucket", "cid", "hashes"],
-            )
-
-
-def _in_six(value: np.ndarray) -> bytes:
-    return value.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def _six(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.reshape(-1).view(np.uint64)
+            short, times = _short(h[order][begin], buckets), 1 + np.diff(np.r_[begin, len(order)]) // FEW
+            values.append(np.repeat((short << np.uint64(1) | (low < high).astype(np.uint64)).astype("<u4"), times))
+            places.append(np.repeat((short >> np.uint64(REST)).astype(np.int64), times))
+        value = np.concatenate(values)
+        rows = [(b, cid, value[r].tobytes()) for b, r in _by_bucket(np.concatenate(places))]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())],
+            names=["bucket", "cid", "hashes"],
+        )
 
 
 def _shared(g: pd.DataFrame, split: int) -> pd.DataFrame:
-    """For each chunk the hashes of a bucket that two documents have, and which of them have more than ``split`` rows."""
-    parts = [_six(x) for x in g["hashes"]]
+    """For each chunk the hashes of a bucket that two documents have, and in full those that have more than ``split`` rows."""
+    bucket, parts = int(g["bucket"].iloc[0]), [np.frombuffer(x, "<u4") for x in g["hashes"]]
     value = np.concatenate(parts)
-    order, begin = _grouped(value >> np.uint64(1))
+    order, begin = _grouped(value >> 1)
     counts = np.diff(np.r_[begin, len(order)])
     many = counts > 1
-    many |= np.add.reduceat((value[order] & np.uint64(1)).astype(np.int64), begin) > 0
+    many |= np.add.reduceat((value[order] & 1).astype(np.int64), begin) > 0
     yes, hot = np.zeros(len(value), bool), np.zeros(len(value), bool)
     yes[order], hot[order] = np.repeat(many, counts), np.repeat(many & (counts > split), counts)
     out, cuts = [], np.cumsum([*map(len, parts)])[:-1]
     for cid, part, keep, top in zip(g["cid"], parts, np.split(yes, cuts), np.split(hot, cuts)):
         if keep.any():
-            out.append((cid, *(_in_six(np.unique(part[x] >> np.uint64(1))) for x in (keep, top))))
-    return pd.DataFrame(out, columns=["cid", "hashes", "hot"])
+            rest, most = (np.unique(part[x] >> 1) for x in (keep, top))
+            out.append((cid, bucket, rest.tobytes(), _in_full(bucket, most).tobytes()))
+    return pd.DataFrame(out, columns=["cid", "bucket", "hashes", "hot"])
+
+
+def _in_full(bucket: int, rest: np.ndarray) -> np.ndarray:
+    """Hashes of one bucket as ``_short`` gives them."""
+    return np.uint64(bucket << REST) | rest.astype("<u8")
 
 
 def _strings(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,11 +213,10 @@ def _pieces_of(chunk: pd.DataFrame, shared: pd.DataFrame, buckets: int) -> pd.Da
     """The distinct pieces of a chunk whose keys are shared, by bucket; single strings instead where the key is hot."""
     out = []
     if len(chunk) and len(shared):
-        ids, sizes, data = _unpack(*chunk.iloc[0][["ids", "sizes", "blob"]])
-        pieces = anchors(data, sizes)
-        short = _short(pieces[0])
-        hot = np.isin(short, _six(b"".join(shared["hot"])))
-        some = np.isin(short, _six(b"".join(shared["hashes"]))) & ~hot
+        ids, _, data, pieces = _opened(chunk)
+        short = _short(pieces[0], buckets)
+        hot = np.isin(short, np.frombuffer(b"".join(shared["hot"]), "<u8"))
+        some = np.isin(short, np.concatenate([_in_full(b, np.frombuffer(x, "<u4")) for b, x in zip(shared["bucket"], shared["hashes"])])) & ~hot
         for split, chosen in ((False, some), (True, hot)):
             h, at, first, last, text = (x[chosen] for x in pieces)
             if split:
@@ -209,7 +226,7 @@ def _pieces_of(chunk: pd.DataFrame, shared: pd.DataFrame, buckets: int) -> pd.Da
             order, begin = _grouped(h, ph)
             low = np.minimum.reduceat(ids[text[order]], begin) if len(begin) else ids[:0]
             pick = order[begin]
-            for b, r in _by_bucket(((ph[pick] if split else _short(h[pick])) % np.uint64(buckets)).astype(np.int64)):
+            for b, r in _by_bucket(((ph if split else h)[pick] % np.uint64(buckets)).astype(np.int64)):
                 p = pick[r]
                 rel, count = (at[p] - first[p]).astype(np.uint8), (last[p] - first[p] + 1).astype(np.uint8)
                 body = np.frombuffer(b"".join([data[i : j + WIDTH] for i, j in zip(first[p].tolist(), last[p].tolist())]), np.uint8)
@@ -355,25 +372,11 @@ def _gone(h: np.ndarray, ph: np.ndarray, owner: np.ndarray, known: np.ndarray, v
     return mask
 
 
-def _cleaned(chunk: pd.DataFrame, found: pd.DataFrame, with_bytes: bool) -> pd.DataFrame:
-    """The rows of a chunk's documents."""
-    columns = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_bytes]
-    if not len(chunk):
-        return pd.DataFrame(columns=columns)
-    ids, sizes, data = _unpack(*chunk.iloc[0][["ids", "sizes", "blob"]])
-    h, _, first, last, text = anchors(data, sizes)
-    hot = np.isin(_short(h), _six(b"".join(found["found"][found["kind"] == HOT])))
+def _rows(data: bytes, sizes: np.ndarray, first: np.ndarray, last: np.ndarray, mask: np.ndarray, with_bytes: bool) -> list[tuple]:
+    """What is left of each text of a chunk without the strings that the masks of its pieces name."""
     string = np.zeros(len(data) + 1, np.int64)
-    for split, chosen in ((False, ~hot), (True, hot)):
-        key, f, t, owner = h[chosen], first[chosen], last[chosen], ids[text[chosen]]
-        if not len(key):
-            continue
-        if split:
-            piece, f = _strings(f, t)
-            key, t, owner = key[piece], f, owner[piece]
-        mask = _gone(key, xxh64(data, f, t - f + WIDTH), owner, *_known(found, STRINGS if split else MASKS))
-        piece, place = _strings(f, t)
-        string[place[(mask[piece] >> (place - f[piece]).astype(np.uint64) & np.uint64(1)) > 0]] = 1
+    piece, place = _strings(first, last)
+    string[place[(mask[piece] >> (place - first[piece]).astype(np.uint64) & np.uint64(1)) > 0]] = 1
     total = np.cumsum(string)
     covered = total.copy()
     covered[WIDTH:] -= total[:-WIDTH]
@@ -391,8 +394,34 @@ def _cleaned(chunk: pd.DataFrame, found: pd.DataFrame, with_bytes: bool) -> pd.D
         kept = data[lo:hi] if not removed else body[lo:hi][~covered[lo:hi]].tobytes()
         row = (hi - lo, removed, int(n_open[hi] - n_open[lo]), hashlib.sha256(kept).hexdigest())
         out.append(row + (kept,) * with_bytes)
+    return out
+
+
+def _cleaned(chunk: pd.DataFrame, found: pd.DataFrame, buckets: int, with_bytes: bool) -> pd.DataFrame:
+    """The rows of the documents of a set of chunks."""
+    columns = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_bytes]
+    if not len(chunk):
+        return pd.DataFrame(columns=columns)
+    ids, sizes, data, (h, _, first, last, text) = _opened(chunk)
+    hot = np.isin(_short(h, buckets), np.frombuffer(b"".join(found["found"][found["kind"] == HOT]), "<u8"))
+    gone = []
+    for split, chosen in ((False, ~hot), (True, hot)):
+        key, f, t, owner = h[chosen], first[chosen], last[chosen], ids[text[chosen]]
+        if split:
+            piece, f = _strings(f, t)
+            key, t, owner = key[piece], f, owner[piece]
+        mask = _gone(key, xxh64(data, f, t - f + WIDTH), owner, *_known(found, STRINGS if split else MASKS))
+        some = mask > 0
+        gone.append((f[some], t[some], mask[some]))
+    first, last, mask = map(np.concatenate, zip(*gone))
+    out, at, text = [], 0, 0
+    for n, own in zip(chunk["n"].tolist(), chunk["ids"]):
+        here = (first >= at) & (first < at + n)
+        until = text + len(own) // 8
+        out += _rows(data[at : at + n], sizes[text:until], first[here] - at, last[here] - at, mask[here], with_bytes)
+        at, text = at + n, until
     frame = pd.DataFrame(out, columns=columns[1:])
-    frame.insert(0, "id", pd.arrays.IntegerArray(ids.copy(), np.frombuffer(chunk["none"].iloc[0], bool).copy()))
+    frame.insert(0, "id", pd.arrays.IntegerArray(ids.copy(), np.frombuffer(b"".join(chunk["none"]), bool).copy()))
     return frame
 
 
@@ -407,7 +436,8 @@ def remove_repeats(
     from each other; a null id counts as the largest long and stays null. Ids are whole numbers; another type is refused with a
     ``TypeError``. An empty table gives an empty one; other columns are left out. A text takes some 60 bytes of memory for each of its bytes.
 
-    Texts are worked on in chunks of ``chunk_bytes`` (or one text), and there is a bucket for each ``bucket_bytes`` of text. Pieces of a
+    Texts are worked on in chunks of ``chunk_bytes`` (or one text), and there is a bucket for each ``bucket_bytes`` of text. As buckets get
+    more, up to 8 chunks share the rows that go to a bucket, lest rows get so short that they cost more than what they hold. Pieces of a
     key that more than ``split`` chunks have (64 pieces of one chunk count as another chunk) are compared string by string.
     """
     if not isinstance(docs.schema[id_col].dataType, IntegralType):
@@ -416,17 +446,19 @@ def remove_repeats(
     chunks = materialize(_pack(docs, id_col, text_col, chunk_bytes))
     total = chunks.agg(F.sum("n")).first()[0] or 0
     buckets = max(64, total // bucket_bytes)
+    together = min(SET, max(1, ROW * total // (chunk_bytes * bucket_bytes)))
+    chunks = chunks.withColumn("cid", F.expr(f"cid - cid % {together}"))  # its set; chunks of a set stand one after the other
     hashes = chunks.mapInArrow(lambda it: _hashes_of(it, buckets), "bucket long, cid long, hashes binary")
-    shared = materialize(hashes.groupBy("bucket").applyInPandas(lambda g: _shared(g, split), "cid long, hashes binary, hot binary"))
+    shared = materialize(hashes.groupBy("bucket").applyInPandas(lambda g: _shared(g, split), "cid long, bucket long, hashes binary, hot binary"))
     pieces = (
         chunks.groupBy("cid").cogroup(shared.groupBy("cid"))
         .applyInPandas(lambda a, b: _pieces_of(a, b, buckets), "bucket long, cid long, split boolean, n long, pieces binary")
     )
-    masks = materialize(pieces.groupBy("bucket").applyInPandas(_removals, "cid long, kind int, found binary"))
+    masks = pieces.groupBy("bucket").applyInPandas(_removals, "cid long, kind int, found binary")
     found = masks.union(shared.where("length(hot) > 0").select("cid", F.lit(HOT).alias("kind"), "hot"))
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes
-    out = chunks.groupBy("cid").cogroup(found.groupBy("cid")).applyInPandas(lambda a, b: _cleaned(a, b, with_bytes), schema)
-    return out.withColumnRenamed("id", id_col)
+    out = chunks.groupBy("cid").cogroup(found.groupBy("cid")).applyInPandas(lambda a, b: _cleaned(a, b, buckets, with_bytes), schema)
+    return materialize(out).withColumnRenamed("id", id_col)  # one plan from the stored chunks on, so both cogroups read one exchange of them
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -365,6 +365,24 @@ def test_removed_bytes_of_a_key_in_ever_new_contexts(spark):
     assert np.unique(key, return_counts=True)[1].max() > 20  # one key in pieces of many texts
 
 
+def shuffled(spark):
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    return sc.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+
+@pytest.mark.parametrize("bucket_bytes,most", [(8_000_000, 2.2), (2000, 2.5)])
+def test_bytes_that_removal_shuffles(spark, bucket_bytes, most):
+    """Chunks are dealt once, keys are of four bytes, and chunks share rows when there are many buckets."""
+    rng = random.Random(3)
+    rows = [(i, "".join(rng.choice("0123456789abcdef") for _ in range(5000))) for i in range(200)]
+    rows[150:] = [(i, t[:2000] + rows[i - 150][1][500:3000]) for i, t in rows[150:]]
+    before = shuffled(spark)
+    out = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), chunk_bytes=50_000, bucket_bytes=bucket_bytes)
+    assert 50 * 2500 <= out.agg(F.sum("n_removed")).first()[0] < 50 * 2510  # letters beside a passage may agree by chance
+    assert shuffled(spark) - before < most * sum(len(t) for _, t in rows)
+
+
 def test_blind_trie_and_multikey_sort():
     rng = random.Random(2)
     strings = ["".join(rng.choice("ab") for _ in range(18)).encode() for _ in range(40)]
