@@ -32,7 +32,7 @@ from .xxh import xxh64
 
 WIDTH, GRAM, KEY, SHALLOW = 50, 16, 32, 32
 REST = 31  # bits of a key that its bucket's rows hold
-SET, ROW = 8, 2048  # chunks that share rows: so many at most, and so many that a row is of that many bytes of text
+SET, ROW = 8, 16_384  # chunks that share rows: so many at most, and so many that a row is of that many bytes of text
 FEW = 64  # pieces of a key in a chunk that count as one
 MASKS, STRINGS, HOT = range(3)  # what a chunk gets back: places in pieces, single strings, the keys whose pieces are split
 LAST = np.iinfo(np.int64).max  # what a null id counts as
